@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,3 +41,20 @@ def drop_stage(df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def remainder(ident: Column, by: int) -> Column:
+    """crc32 of an id as text, modulo ``by``; 0 for a null id."""
+    return F.coalesce(F.crc32(ident.cast("string").cast("binary")) % by, F.lit(0)).cast("int")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int) -> DataFrame:
+    """(place, label, text) of at most ``rows`` labelled documents for which ``learn`` (of doc_id) holds.
+
+    The sample is the labels with the least hashes of their ids, so it is the same each time; only it is broadcast, and
+    its size is bounded by ``rows``.
+    """
+    known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label")).where("_id IS NOT NULL AND label IN (0, 1)")
+    known = known.withColumnRenamed("_id", "doc_id").where(learn).withColumn("place", F.xxhash64("doc_id", F.lit(label)))
+    known = known.orderBy("place", "doc_id", "label").limit(rows)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("place", "label", "text")
