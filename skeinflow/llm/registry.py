@@ -4,10 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from skeinflow.llm import chat, mixing, substring_dedup
+from skeinflow.llm.bpe import encode_documents
 from skeinflow.llm.common import table
 from skeinflow.llm.minhash_dedup import near_duplicates
+from skeinflow.llm.quality_classifier import quality_scores
+from skeinflow.llm.quality_rules import quality
+from skeinflow.llm.toxicity import toxicity
+
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(chat.EXTRA, turns.schema)
+    return chat.read_back(chat.format_conversations(turns.union(extra)))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op7_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
+    return encode_documents(table(spark, sf_dir, "documents"), path, pattern, with_ids=False)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +54,8 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_minhash_near_dedup": op10_minhash_near_dedup}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_classifier, op3_mixing, op5_substring_dedup, op7_byte_level_bpe, op8_toxicity, op9_quality_rules, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_formatting": chat.ORACLE, "op3_mixing": mixing.ORACLE, "op5_substring_dedup": substring_dedup.ORACLE}
