@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinflow.llm import chat, mixing, substring_dedup
+import corpus_pipeline
+from skeinflow.llm import chat, embedding_dedup, mixing, substring_dedup, warc
 from skeinflow.llm.bpe import encode_documents
 from skeinflow.llm.common import table
 from skeinflow.llm.minhash_dedup import near_duplicates
@@ -15,7 +16,6 @@ from skeinflow.llm.quality_classifier import quality_scores
 from skeinflow.llm.quality_rules import quality
 from skeinflow.llm.toxicity import toxicity
 
-VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,12 +32,20 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_derivatives(table(spark, sf_dir, "pages"))
+
+
 def op7_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
+    path, pattern = public_tokenizers.path(corpus_pipeline.VOCABULARY), public_tokenizers.PATTERN
     return encode_documents(table(spark, sf_dir, "documents"), path, pattern, with_ids=False)
 
 
@@ -53,9 +61,20 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_classifier, op3_mixing, op5_substring_dedup, op7_byte_level_bpe, op8_toxicity, op9_quality_rules, op10_minhash_near_dedup)}
+    made = (
+        op1_chat_formatting, op2_quality_classifier, op3_mixing, op4_embedding_near_dedup, op5_substring_dedup, op6_warc, op7_byte_level_bpe, op8_toxicity,
+        op9_quality_rules, op10_minhash_near_dedup, pipeline,
+    )
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat.ORACLE, "op3_mixing": mixing.ORACLE, "op5_substring_dedup": substring_dedup.ORACLE}
+    return {
+        "op1_chat_formatting": chat.ORACLE, "op3_mixing": mixing.ORACLE, "op4_embedding_near_dedup": embedding_dedup.ORACLE,
+        "op5_substring_dedup": substring_dedup.ORACLE,
+    }
