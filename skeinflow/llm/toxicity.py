@@ -19,8 +19,8 @@ from skeinflow.llm.common import labelled_sample, remainder
 
 BITS = 20
 #: Labelled documents to learn from at most, passes over them, and the weight of a toxic one.
-TRAIN_ROWS, EPOCHS, POSITIVE = 12_000, 3, 2.0
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 2.0, 1.0
+TRAIN_ROWS, EPOCHS, POSITIVE = 12_000, 6, 1.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.01
 #: Words are runs of bytes other than white space and ASCII punctuation, A-Z lower-cased.
 BREAKS = K.SEPARATOR.copy()
 BREAKS[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
