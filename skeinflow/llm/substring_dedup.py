@@ -260,7 +260,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Rows that repeat a text lose all its windows, whatever their ids; null ids are as good as others; texts of fewer than
     WINDOW words lose nothing; an empty table gives no rows; other columns are not looked at.
     """
-    return _removed(docs, ["doc_id"], False)
+    return _removed(docs.select("doc_id", "text"), ["doc_id"], False)
 
 
 def strip_repeats(docs: DataFrame) -> DataFrame:
