@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _field(name: str):
+    return lambda e: e[name]
+
+
 def _c(x: Column | str) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
@@ -60,7 +64,7 @@ def columns_json(df: DataFrame, order: str, out: str = "json") -> DataFrame:
     """A (small) table as one object of columns, {name: [...]}, in order."""
     names = [c for c in df.columns if c != order]
     packed = df.agg(F.array_sort(F.collect_list(F.struct(order, *names))).alias("l"))
-    return packed.select(F.to_json(F.struct(*(F.transform("l", lambda e, c=c: e[c]).alias(c) for c in names))).alias(out))
+    return packed.select(F.to_json(F.struct(*(F.transform("l", _field(c)).alias(c) for c in names))).alias(out))
 
 
 def hybrid_json(df: DataFrame, order: str, name: str, out: str = "json") -> DataFrame:
@@ -69,5 +73,5 @@ def hybrid_json(df: DataFrame, order: str, name: str, out: str = "json") -> Data
     nested = [f.name for f in df.schema if isinstance(f.dataType, T.ArrayType)]
     packed = df.agg(F.array_sort(F.collect_list(F.struct(order, *scalars, *nested))).alias("l"))
     rows = F.transform("l", lambda e, i: F.struct(*(e[c].alias(c) for c in scalars), *(i.alias(c) for c in nested)))
-    arrays = F.struct(*(F.transform("l", lambda e, c=c: e[c]).alias(c) for c in nested)) if nested else F.create_map()
+    arrays = F.struct(*(F.transform("l", _field(c)).alias(c) for c in nested)) if nested else F.create_map()
     return packed.select(F.to_json(F.struct(F.lit(name).alias("name"), rows.alias("rows"), arrays.alias("arrays"))).alias(out))

@@ -13,6 +13,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _c(x: Column | str | float) -> Column:
@@ -201,13 +202,13 @@ def to_text(x) -> Column:
     return _c(x).cast("string")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def lgamma(x: pd.Series) -> pd.Series:
     """Logarithm of the gamma function."""
     return x.map(lambda v: math.lgamma(v) if v > 0 or v != math.floor(v) else math.inf)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def critz(p: pd.Series) -> pd.Series:
     """Inverse normal distribution function; NaN outside (0, 1)."""
     inv = NormalDist().inv_cdf

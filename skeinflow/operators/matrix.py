@@ -6,8 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skeinflow.functions import lists
+from skeinflow.types import array, struct
 
 
 def _c(x: Column | str) -> Column:
@@ -92,7 +94,7 @@ def _square(v) -> np.ndarray:
     return np.array([list(r) for r in v], dtype=float)
 
 
-@F.pandas_udf("array<array<double>>")
+@F.pandas_udf(array(T.DoubleType(), 2))
 def inverse(m: pd.Series) -> pd.Series:
     """Null where the matrix is singular."""
     def one(v):
@@ -104,12 +106,12 @@ def inverse(m: pd.Series) -> pd.Series:
     return m.map(one)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def det(m: pd.Series) -> pd.Series:
     return m.map(lambda v: float(np.linalg.det(_square(v))))
 
 
-@F.pandas_udf("struct<lu: array<array<double>>, order: array<int>, sign: int>")
+@F.pandas_udf(struct(lu=array(T.DoubleType(), 2), order=array(T.IntegerType()), sign=T.IntegerType()))
 def ludcmp(m: pd.Series) -> pd.DataFrame:
     """LU decomposition with partial pivoting: unit lower and upper triangle in one matrix, row order, parity."""
     rows = []
@@ -165,5 +167,5 @@ def covariance(df: DataFrame, columns: list[str]) -> DataFrame:
     """Sample covariance of every two columns, in one pass: (i, j, v)."""
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
     one = df.agg(*(F.covar_samp(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs))
-    cells = [F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.col(f"c{i}_{j}").alias("v")) for i, j in pairs for a, b in {(i, j), (j, i)}]
+    cells = [F.struct(F.lit(columns[a]).alias("i"), F.lit(columns[b]).alias("j"), F.col(f"c{i}_{j}").alias("v")) for i, j in pairs for a, b in {(i, j), (j, i)}]
     return one.select(F.explode(F.array(*cells)).alias("c")).select("c.*")

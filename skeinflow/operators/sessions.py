@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _field(name: str):
+    return lambda e: e[name]
+
+
 def sessionise(events: DataFrame, keys: list[str], order: list[str], begin: Column, end: Column, time: str) -> DataFrame:
     """Rows of complete observations with obs (from 0) and time since the begin event.
 
@@ -30,7 +34,7 @@ def observations(rows: DataFrame, keys: list[str], order: list[str], nested: lis
     """One row per observation, the ``nested`` columns as lists in order."""
     entry = F.struct(*(F.col(o).alias(f"_o{i}") for i, o in enumerate(order)), *nested)
     packed = rows.groupBy(*keys, "obs").agg(F.array_sort(F.collect_list(entry)).alias("_l"))
-    return packed.select(*keys, "obs", *(F.transform("_l", lambda e, c=c: e[c]).alias(c) for c in nested))
+    return packed.select(*keys, "obs", *(F.transform("_l", _field(c)).alias(c) for c in nested))
 
 
 def gap_sessions(events: DataFrame, keys: list[str], time: str, order: str, gap_seconds: float) -> DataFrame:

@@ -6,6 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from skeinflow.types import array, struct
 
 
 def kernel(sd: float, nsd: float) -> np.ndarray:
@@ -105,35 +108,36 @@ def parzen(times: Column, start: float, stop: float, pilot: float, nsd: float =
     return run(times)
 
 
-def sdf_asym(times: Column, start: float, stop: float, rise: float, fall: float, step: int = 1) -> Column:
-    """Density with a causal kernel (1 - exp(-t / rise)) * exp(-t / fall), of unit sum."""
-    t = np.arange(int(10 * max(rise, fall)) + 1)
-    k = (1 - np.exp(-t / rise)) * np.exp(-t / fall)
+def sdf_asym(times: Column, start: float, stop: float, before_sd: float, after_sd: float, nsd: float = 3.0) -> Column:
+    """Density with a Gaussian of one width on the near side of a time and of another on the far side, of unit sum."""
+    n = int(np.ceil(nsd * max(before_sd, after_sd)))
+    t = np.arange(-n, n + 1)
+    k = np.exp(-((t / np.where(t < 0, before_sd, after_sd)) ** 2))
     k = k / k.sum()
 
     @F.pandas_udf("array<double>")
     def run(s: pd.Series) -> pd.Series:
-        n = int(stop - start) + 1
+        length = int(stop - start) + 1
 
         def one(v):
             at = np.trunc(np.asarray(v, dtype=float) - start).astype(int)
-            counts = np.zeros(n + len(k))
-            ok = (at > -len(k)) & (at < n)
-            np.add.at(counts, at[ok] + len(k), 1)
-            return np.convolve(counts, k)[len(k) : len(k) + n][::step].tolist()
+            counts = np.zeros(length + 2 * n)
+            ok = (at >= -n) & (at < length + n)
+            np.add.at(counts, at[ok] + n, 1)
+            return np.correlate(counts, k, mode="valid").tolist()
 
         return s.map(one)
 
     return run(times)
 
 
-@F.pandas_udf("struct<re: array<array<double>>, im: array<array<double>>>")
+@F.pandas_udf(struct(re=array(T.DoubleType(), 2), im=array(T.DoubleType(), 2)))
 def fft2(m: pd.Series) -> pd.DataFrame:
     out = [np.fft.fft2(np.array([list(r) for r in v], dtype=float)) for v in m]
     return pd.DataFrame({"re": [x.real.tolist() for x in out], "im": [x.imag.tolist() for x in out]})
 
 
-@F.pandas_udf("array<array<double>>")
+@F.pandas_udf(array(T.DoubleType(), 2))
 def ifft2(re: pd.Series, im: pd.Series) -> pd.Series:
     """Real part of the inverse transform."""
     return pd.Series([np.fft.ifft2(np.array([list(r) for r in a]) + 1j * np.array([list(r) for r in b])).real.tolist() for a, b in zip(re, im, strict=True)])
@@ -190,3 +194,49 @@ def spectrogram(df: DataFrame, key: str, column: str, rate: float, width: int, h
     cut = df.where(F.size(column) >= width).select(key, F.col(column).alias("_x"), F.explode(starts).alias("start"))
     cut = cut.select(F.struct(key, "start").alias("_k"), F.slice("_x", F.col("start") + 1, width).alias("_x"))
     return spectra(cut, "_k", "_x", rate, tapers).select("_k.*", "freq", "power")
+
+
+def lowess(x: np.ndarray, y: np.ndarray, f: float = 2 / 3, steps: int = 3, delta: float = 0.0) -> np.ndarray:
+    """Locally weighted regression of y on ascending x: each point's line fits its nearest share f of the points with tricube
+    weights, then ``steps`` times again with weights that fall with the residuals.  Points nearer than delta to a fitted one
+    are interpolated."""
+    n = len(x)
+    if n < 3:
+        return y.astype(float)
+    k = max(2, min(n, int(f * n + 1e-7)))
+    at = [0]
+    for i in range(1, n):
+        if x[i] > x[at[-1]] + delta or i == n - 1:
+            at.append(i)
+    at = np.unique(at)
+    robust, fit = np.ones(n), np.zeros(n)
+    for _ in range(steps + 1):
+        for i in at:
+            d = np.abs(x - x[i])
+            reach = np.partition(d, k - 1)[k - 1]
+            u = np.clip(d / reach, 0, 1) if reach > 0 else (d > 0).astype(float)
+            w = (1 - u**3) ** 3 * robust
+            s = w.sum()
+            if s <= 0:
+                fit[i] = y[i]
+                continue
+            mx, my = (w * x).sum() / s, (w * y).sum() / s
+            var = (w * (x - mx) ** 2).sum()
+            fit[i] = my + ((w * (x - mx) * (y - my)).sum() / var * (x[i] - mx) if var > 1e-12 * s else 0)
+        fit = np.interp(x, x[at], fit[at])
+        off = np.abs(y - fit)
+        scale = 6 * np.median(off)
+        robust = np.clip(1 - (off / scale) ** 2, 0, 1) ** 2 if scale > 0 else np.ones(n)
+    return fit
+
+
+def lowess_rows(df: DataFrame, keys: list[str], x: str, y: str, f: float = 2 / 3, steps: int = 3, delta: float = 0.0) -> DataFrame:
+    """(keys, x, y, fit) by group; a group is fitted within one task."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([x, y], kind="stable")
+        return pdf.assign(fit=lowess(pdf[x].to_numpy(dtype=float), pdf[y].to_numpy(dtype=float), f, steps, delta))
+
+    some = df.select(*keys, F.col(x).cast("double"), F.col(y).cast("double"))
+    schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), f"`{x}` double, `{y}` double, fit double"])
+    return some.groupBy(*keys).applyInPandas(one, schema)

@@ -10,9 +10,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from skeinflow.types import array
+from skeinflow.types import struct as fields
 
-@F.pandas_udf("struct<rate: int, channels: int, width: int, samples: array<int>>")
+
+@F.pandas_udf(fields(rate=T.IntegerType(), channels=T.IntegerType(), width=T.IntegerType(), samples=array(T.IntegerType())))
 def wav_samples(content: pd.Series) -> pd.DataFrame:
     """PCM samples, channels interleaved; 8-bit ones are unsigned less 128."""
     rows = []

@@ -28,7 +28,8 @@ def read_ascii(spark: SparkSession, path: str, *specs: str) -> DataFrame:
         name, kind, at = (spec.split(":") + ["", ""])[:3]
         at = int(at) if at else i
         value = F.when(F.size("p") > at, F.get("p", F.lit(at))).otherwise(F.raise_error(F.lit(f"column {at} is missing")))
-        out.append(value.cast(_CASTS[kind or "float"]).alias(name))
+        kind = _CASTS[kind or "float"]
+        out.append((value.cast("double").cast(kind) if kind in ("int", "smallint") else value.cast(kind)).alias(name))
     return rows.select(*out)
 
 

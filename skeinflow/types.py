@@ -15,6 +15,17 @@ SPARK = {
 STORED = {**SPARK, "float": T.FloatType()}
 
 
+def array(inner: T.DataType, depth: int = 1) -> T.DataType:
+    """Type of a list nested ``depth`` deep; built here, as type names need a session to be read."""
+    for _ in range(depth):
+        inner = T.ArrayType(inner)
+    return inner
+
+
+def struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
 def element_type(name: str, depth: int = 0) -> T.DataType:
     """Spark type of a list element, nested ``depth`` deep."""
     out = SPARK[name]
