@@ -12,23 +12,30 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skeinflow.stages import settled
 from skeinflow.types import default
 
 RID = "_rid"
 
 
-def with_rid(df: DataFrame, *order: str | Column) -> DataFrame:
-    """Number rows by ``order``, dense from 0, without sorting everything in one task.
+def running_total(df: DataFrame, order: list[str | Column], weight: Column, out: str) -> DataFrame:
+    """``df`` with the sum of ``weight`` over the rows up to each one in ``order``, without one task that sorts them all.
 
-    Rows are range-partitioned by the order; each partition numbers its own, and starts where the ones before it end.  The
-    partition counts (one row per partition) are all that is gathered.
+    Rows are range-partitioned; each partition sums its own and starts from the sum of those before it, one row a partition.
+    The partitioning samples its bounds, so it is written down before it is used twice.
     """
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
-    parts = parts.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    local = F.col("_m") - F.shiftleft(F.col("_p").cast("long"), 33)
-    counts = parts.groupBy("_p").count().withColumn("_start", F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
-    starts = counts.select("_p", F.coalesce("_start", F.lit(0)).alias("_start"))
-    return parts.join(F.broadcast(starts), "_p").withColumn(RID, local + F.col("_start")).drop("_p", "_m", "_start")
+    parts = df.withColumn("_w", weight).repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    parts = settled(parts, "ranges")
+    w = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = parts.groupBy("_p").agg(F.sum("_w").alias("_s"))
+    before = F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.select("_p", F.coalesce(before, F.lit(0)).alias("_start"))
+    return parts.withColumn("_local", F.sum("_w").over(w)).join(F.broadcast(starts), "_p").withColumn(out, F.col("_local") + F.col("_start")).drop("_p", "_w", "_s", "_local", "_start")
+
+
+def with_rid(df: DataFrame, *order: str | Column) -> DataFrame:
+    """Number rows by ``order`` (needed, and total for reruns to agree), dense from 0."""
+    return running_total(df, list(order), F.lit(1).cast("long"), RID).withColumn(RID, F.col(RID) - 1)
 
 
 def from_lists(spark: SparkSession, name: str | None = None, **columns: list) -> DataFrame:

@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinflow.operators.frame import RID
+from skeinflow.operators.frame import RID, running_total, with_rid
 
 #: Cells above which a dense grid is refused unless asked for.
 MOST_CELLS = 1_000_000
+#: Distinct values up to which one task may order them.
+SMALL = 500_000
 
 
 def grid(df: DataFrame, *keys: str, most: int = MOST_CELLS) -> DataFrame:
@@ -68,24 +70,32 @@ def unique_cross(df: DataFrame, *keys: str) -> DataFrame:
     return grid(df, *keys)
 
 
+def _numbered(values: DataFrame, column: str, out: str) -> DataFrame:
+    """Distinct values with their place in order, by one task if they are few, else by ranges."""
+    if values.agg(F.approx_count_distinct(column)).first()[0] > SMALL:
+        return with_rid(values, column).withColumn(out, F.col(RID).cast("int")).drop(RID)
+    return values.withColumn(out, (F.row_number().over(Window.orderBy(column)) - 1).cast("int"))
+
+
 def recode(df: DataFrame, column: str, out: str = "code") -> DataFrame:
     """Position of each value among the sorted distinct ones; only the distinct values are ordered."""
-    codes = df.select(column).distinct()
-    ranked = codes.withColumn(out, (F.row_number().over(Window.orderBy(column)) - 1).cast("int"))
-    return df.join(ranked, column)
+    return df.join(_numbered(df.select(column).distinct(), column, out), column)
 
 
 def recode_from(df: DataFrame, column: str, reference: DataFrame, value: str, out: str = "code") -> DataFrame:
     """Codes against another table's distinct values, -1 for others."""
-    ranked = reference.select(F.col(value).alias("_v")).distinct().withColumn(out, (F.row_number().over(Window.orderBy("_v")) - 1).cast("int"))
+    ranked = _numbered(reference.select(F.col(value).alias("_v")).distinct(), "_v", out)
     return df.join(ranked, df[column] == ranked["_v"], "left").drop("_v").withColumn(out, F.coalesce(out, F.lit(-1)))
 
 
 def midrank(df: DataFrame, column: str, *within: str, out: str = "midrank") -> DataFrame:
     """0-based ranks, ties sharing their mean; from counts of distinct values, so equal values cost one row."""
     counts = df.groupBy(*within, column).agg(F.count("*").alias("_n"))
-    below = F.sum("_n").over(Window.partitionBy(*within).orderBy(column).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.withColumn(out, F.coalesce(below, F.lit(0)) + (F.col("_n") - 1) / 2.0).drop("_n")
+    if within or df.agg(F.approx_count_distinct(column)).first()[0] <= SMALL:
+        upto = counts.withColumn("_u", F.sum("_n").over(Window.partitionBy(*within).orderBy(column).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        upto = running_total(counts, [column], F.col("_n"), "_u")
+    ranks = upto.withColumn(out, F.col("_u") - F.col("_n") + (F.col("_n") - 1) / 2.0).drop("_n", "_u")
     return df.join(ranks, [*within, column])
 
 

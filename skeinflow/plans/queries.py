@@ -448,7 +448,7 @@ def fill_grid(spark, d):
 
 def _asof_sql(op: str, order: str, having: str = "TRUE") -> str:
     end = "" if order else " DESC"
-    return f"""SELECT c.event_id, (SELECT e.event_id FROM events e WHERE e.user_id = c.user_id AND e.event_type = 'purchase' AND {having} AND e.ts {op} c.ts ORDER BY e.ts{end}, e.event_id{end} LIMIT 1) AS e_event_id
+    return f"""SELECT c.event_id, coalesce((SELECT e.event_id FROM events e WHERE e.user_id = c.user_id AND e.event_type = 'purchase' AND {having} AND e.ts {op} c.ts ORDER BY e.ts{end}, e.event_id{end} LIMIT 1), -1) AS e_event_id
     FROM events c WHERE c.event_type = 'click'"""
 
 
@@ -456,7 +456,7 @@ def _asof(spark, d, direction, having=None):
     e = _events(spark, d)
     clicks = e.where("event_type = 'click'").select("event_id", "user_id", "ts")
     found = asof.asof(clicks, e.where("event_type = 'purchase'"), ["user_id"], "ts", "event_id", direction, ["event_id"], having)
-    return found.select("event_id", "e_event_id")
+    return found.select("event_id", F.coalesce("e_event_id", F.lit(-1)).alias("e_event_id"))
 
 
 for _name, _op, _up in (("before", "<", ""), ("at_or_before", "<=", ""), ("at", "=", "x"), ("at_or_after", ">=", "x"), ("after", ">", "x")):
@@ -517,12 +517,12 @@ _L = "WITH o AS (SELECT l_orderkey AS k, list(l_extendedprice ORDER BY l_linenum
 
 @query(
     "list_reductions",
-    _L + """SELECT k, len(p)::INTEGER AS n, round(list_sum(p), 4) AS s, round(list_avg(p), 4) AS m, list_min(p) AS lo, list_max(p) AS hi, round(list_product(q), 2) AS pr,
+    _L + """SELECT k, len(p)::INTEGER AS n, round(list_sum(p), 4) AS s, round(list_avg(p), 6) AS m, list_min(p) AS lo, list_max(p) AS hi, round(list_product(q), 2) AS pr,
     round(coalesce(list_var_samp(q), 0), 4) AS v, round(coalesce(list_stddev_samp(q), 0), 4) AS sd, round(list_median(p), 4) AS md, (list_position(p, list_min(p)) - 1)::INTEGER AS mi, (list_position(p, list_max(p)) - 1)::INTEGER AS ma FROM o""",
 )
 def list_reductions(spark, d):
     return _orders_lists(spark, d).select(
-        "k", lists.length("p").alias("n"), r4(lists.total("p"), "s"), r4(lists.mean("p"), "m"), lists.minimum("p").alias("lo"), lists.maximum("p").alias("hi"), F.round(lists.prod("q"), 2).alias("pr"),
+        "k", lists.length("p").alias("n"), r4(lists.total("p"), "s"), F.round(lists.mean("p"), 6).alias("m"), lists.minimum("p").alias("lo"), lists.maximum("p").alias("hi"), F.round(lists.prod("q"), 2).alias("pr"),
         r4(lists.variance("q"), "v"), r4(lists.std("q"), "sd"), r4(lists.median("p"), "md"), lists.min_index("p").alias("mi"), lists.max_index("p").alias("ma"),
     )
 
@@ -774,13 +774,7 @@ def cross_correlogram(spark, d):
 @query("dbscan_grid")
 def dbscan_grid(spark, d):
     p = t(spark, d, "embeddings").select("vec_id", F.get("embedding", F.lit(0)).alias("x"), F.get("embedding", F.lit(1)).alias("y"))
-    labelled = frame.set_column(p, "one", F.lit(1))
-    spark_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not spark_dir and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skeinflow-"))
-    return cluster.dbscan(labelled, "vec_id", "x", "y", 0.02, 3)
+    return cluster.dbscan(p, "vec_id", "x", "y", 0.02, 3)
 
 
 @query("dtw_matrix")
@@ -825,12 +819,12 @@ def trajectory_turns(spark, d):
     return p.select("user_id", F.size(trajectory.turns("p")).alias("n"))
 
 
-@query("motion_sample", f"SELECT s_suppkey, round(least(i * 0.25, 2.0), 4) AS t, round(s_acctbal / 1000 * least(i * 0.25, 2.0), 4) AS x, round(10 + 3 * least(i * 0.25, 2.0) - 0.5 * 9.8 * pow(least(i * 0.25, 2.0), 2), 4) AS y FROM supplier, range(9) r(i)")
+@query("motion_sample", f"SELECT s_suppkey, round(least(i * 0.25, 2.0), 4) AS t, round(s_acctbal / 1000 * least(i * 0.25, 2.0), 8) AS x, round(10 + 3 * least(i * 0.25, 2.0) - 0.5 * 9.8 * pow(least(i * 0.25, 2.0), 2), 8) AS y FROM supplier, range(9) r(i)")
 def motion_sample(spark, d):
     s = t(spark, d, "supplier")
     rows = trajectory.sample(s.select("s_suppkey", "s_acctbal"), "s_suppkey", lambda x: trajectory.ballistic(x, 0.0, 10.0, 0.0, 3.0, 9.8), F.lit(2.0), 0.25)
     speed = s.select("s_suppkey", (F.col("s_acctbal") / 1000).alias("vx"))
-    return rows.join(speed, "s_suppkey").select("s_suppkey", r4(F.col("t"), "t"), r4(F.col("vx") * F.col("t"), "x"), r4(F.col("y"), "y"))
+    return rows.join(speed, "s_suppkey").select("s_suppkey", r4(F.col("t"), "t"), F.round(F.col("vx") * F.col("t"), 8).alias("x"), F.round("y", 8).alias("y"))
 
 
 @query("hex_distance", "SELECT a.n_nationkey AS a, b.n_nationkey AS b, ((abs(a.n_nationkey - b.n_nationkey) + abs(a.n_nationkey + a.n_regionkey - b.n_nationkey - b.n_regionkey) + abs(a.n_regionkey - b.n_regionkey)) / 2)::INTEGER AS steps FROM nation a CROSS JOIN nation b")
