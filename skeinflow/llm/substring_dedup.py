@@ -198,11 +198,12 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     rows = _pick(texts, wanted, "left_semi").join(wanted, ["t1", "t2", "rid"]).select("t1", "t2", "fps", "text")
     windows = stage(rows.mapInArrow(_windows, "t1 long, t2 long, place int, h1 long, h2 long"), "windows")
-    twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
+    # Written, so that the join below is one of two plain shuffles and Spark can split the partitions of a hot window.
+    twice = stage(windows.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2"), "twice")
     places = windows.join(twice, ["h1", "h2"]).groupBy("t1", "t2").agg(F.collect_list("place").alias("places"))
     copies = classes.where("n > 1").select("t1", "t2", F.lit(True).alias("everything"))
     out = stage(copies.join(places, ["t1", "t2"], "full"), "repeats")
-    for used in (classes, wanted, windows):
+    for used in (classes, wanted, windows, twice):
         drop_stage(used)
     return out
 
