@@ -194,9 +194,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     banded = classes.select("rep", F.explode("bands").alias("bucket"))
     hubs = banded.groupBy("bucket").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).where("center < last")
-    stars = banded.join(hubs.select("bucket", "center"), "bucket").where("rep <> center")
+    # Aggregates are written before they are joined back, so that Spark can split the partitions of a hot key.
+    hubs = stage(hubs.select("bucket", "center"), "hubs")
+    stars = banded.join(hubs, "bucket").where("rep <> center")
     stars = stage(stars.select("center", F.col("rep").alias("member")).distinct(), "stars")
-    parts = stars.groupBy("center").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
+    parts = stage(stars.groupBy("center").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts")), "parts")
     stars = stage(stars.join(parts, "center").select("center", _spread("member", F.col("parts")).cast("int").alias("part"), "member"), "stars")
 
     wanted = stars.select("member").union(stars.select("center")).distinct()
@@ -230,7 +232,7 @@ def _rest(checked: DataFrame, first: DataFrame, texts: DataFrame, percent: int)
     named = checked.join(first.select(F.col("node").alias("b"), "component"), "b", "left")
     named = named.select("a", "b", "cell", F.coalesce("component", "b").alias("comp"))
     groups = named.groupBy("a").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    groups = groups.where("n > 1 AND lo <> hi").select("a", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    groups = stage(groups.where("n > 1 AND lo <> hi").select("a", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "groups")
     named = named.join(groups, "a").withColumn("part", _spread("b", F.col("parts")).cast("int"))
     # Cells are as wide as the greatest distance of a link: only equal or adjacent ones can hold one.
     other = F.sequence(F.lit(0), F.col("parts") - 1)
