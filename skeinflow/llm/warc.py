@@ -1,6 +1,6 @@
 """WARC derivatives: linked metadata and plain-text conversion records from response records.
 
-Records are WARC/1.1, each its own gzip member where asked.  A response's payload is taken out of its HTTP block; the
+Records are WARC/1.1: plain bytes in columns, gzip members of their own in files.  A response's payload is taken out of its HTTP block; the
 metadata record holds the source's URI, date, HTTP status line, every HTTP header, digests, title and links, as warc-fields;
 the conversion record holds the text.  Both refer to the response by its record id and repeat its target URI, date and payload
 digest.  Identifiers are name-based UUIDs of what a record is made from, so reruns give the same ones.
@@ -193,14 +193,14 @@ def page_responses(pages: DataFrame) -> DataFrame:
             for lo in range(0, max(1, whole.num_rows), 256):
                 batch = whole.slice(lo, 256)
                 rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array([serialise(page_response(*r)) for r in rows], pa.binary())], ["page_id", "warc"])
+                yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array([serialise(page_response(*r), compress=False) for r in rows], pa.binary())], ["page_id", "warc"])
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     return rows.mapInArrow(run, "page_id long, warc binary")
 
 
 def derivatives(responses: DataFrame) -> DataFrame:
-    """(page_id, warc) -> page_id, metadata, conversion, records in gzip members; what isn't a response gives no row."""
+    """(page_id, warc) -> page_id, metadata, conversion; what isn't a response gives no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -208,7 +208,7 @@ def derivatives(responses: DataFrame) -> DataFrame:
                 batch = whole.slice(lo, 256)
                 out: list[tuple] = []
                 for page, data in zip(batch.column("page_id").to_pylist(), batch.column("warc").to_pylist(), strict=True):
-                    out += [(page, *map(serialise, derive(r))) for r in parse(data or b"") if r.get("WARC-Type") == "response"]
+                    out += [(page, *(serialise(d, compress=False) for d in derive(r))) for r in parse(data or b"") if r.get("WARC-Type") == "response"]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["page_id", "metadata", "conversion"])
 
     return responses.select("page_id", "warc").mapInArrow(run, "page_id long, metadata binary, conversion binary")
@@ -263,7 +263,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                held = [(name, r.get("WARC-Type"), r.get("WARC-Record-ID"), r.get("WARC-Target-URI"), serialise(r)) for r in parse(data)]
+                held = [(name, r.get("WARC-Type"), r.get("WARC-Record-ID"), r.get("WARC-Target-URI"), serialise(r, compress=False)) for r in parse(data)]
                 for lo in range(0, len(held), 256):
                     kinds = [pa.string()] * 4 + [pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in held[lo : lo + 256]], t) for k, t in enumerate(kinds)], ["file", "type", "record_id", "target_uri", "warc"])
@@ -273,7 +273,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_warc(records: DataFrame, folder: str, column: str = "warc") -> list[str]:
-    """Write each partition's records to a file of its own in a folder that all executors mount; gives the names."""
+    """Write each partition's records, as gzip members, to a file of its own in a folder that all executors mount; gives the names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.makedirs(folder, exist_ok=True)
@@ -281,7 +281,7 @@ def write_warc(records: DataFrame, folder: str, column: str = "warc") -> list[st
         with open(os.path.join(folder, f".{name}"), "wb") as f:
             for batch in batches:
                 for data in batch.column("warc").to_pylist():
-                    f.write(data)
+                    f.write(data if data[:2] == b"\x1f\x8b" else gzip.compress(data, 6, mtime=0))
         os.replace(os.path.join(folder, f".{name}"), os.path.join(folder, name))
         yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
 
