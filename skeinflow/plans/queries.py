@@ -684,7 +684,7 @@ def covariance(spark, d):
 
 @query("matrix_inverse")
 def matrix_inverse(spark, d):
-    e = t(spark, d, "embeddings").where("vec_id < 50").select("vec_id", lists.reshape(F.transform("embedding", lambda x: x.cast("double")), F.lit(8), F.lit(8)).alias("m"))
+    e = t(spark, d, "embeddings").select("vec_id", lists.reshape(F.transform("embedding", lambda x: x.cast("double")), F.lit(8), F.lit(8)).alias("m"))
     e = e.select("vec_id", "m", matrix.inverse("m").alias("inv"), matrix.det("m").alias("det"))
     return e.select("vec_id", r4(lists.total(matrix.diag(matrix.matmul("m", "inv"))), "trace"), F.round("det", 8).alias("det"))
 
@@ -779,8 +779,9 @@ def dbscan_grid(spark, d):
 
 @query("dtw_matrix")
 def dtw_matrix(spark, d):
-    p = t(spark, d, "embeddings").where("vec_id < 40").select("vec_id", lists.reshape(F.transform("embedding", lambda x: x.cast("double")), F.lit(32), F.lit(2)).alias("path"))
-    return cluster.dtw_matrix(p, "vec_id", "path").select("a", "b", r4(F.col("distance"), "distance"))
+    p = t(spark, d, "embeddings").select("vec_id", lists.reshape(F.transform("embedding", lambda x: x.cast("double")), F.lit(32), F.lit(2)).alias("path"))
+    # Blocks of at most some thousand rows: a task holds the pairs of two.
+    return cluster.dtw_matrix(p, "vec_id", "path", blocks=max(8, -(-p.count() // 1000))).select("a", "b", r4(F.col("distance"), "distance"))
 
 
 @query("eye_events")
@@ -809,7 +810,8 @@ def kde_grid(spark, d):
 
 @query("kde_peaks")
 def kde_peaks(spark, d):
-    return trajectory.peaks(trajectory.kde(_points(spark, d), _GRID, 25, 25, 4.0), 25, 25, 0.0).select("gx", "gy", F.round("density", 8).alias("density"))
+    points = _events(spark, d).select(F.col("value").alias("x"), F.col("user_id").cast("double").alias("y"))
+    return trajectory.peaks(trajectory.kde(points, _GRID, 25, 25, 4.0), 25, 25, 0.0).select("gx", "gy", F.round("density", 8).alias("density"))
 
 
 @query("trajectory_turns")
@@ -877,7 +879,7 @@ def windowed_counts(spark, d):
 
 @query("lowess")
 def lowess(spark, d):
-    p = t(spark, d, "part").where("p_partkey < 400").select((F.col("p_size") % 3).alias("k"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
+    p = t(spark, d, "part").select((F.col("p_size") % 3).alias("k"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
     return signal.lowess_rows(p, ["k"], "x", "y").select("k", "x", "y", r4(F.col("fit"), "fit"))
 
 
