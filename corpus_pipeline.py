@@ -17,6 +17,8 @@ from skeinflow.llm.minhash_dedup import near_duplicates
 from skeinflow.llm.quality_rules import quality_filter
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Least similarity of near copies in the pipeline (op10 has its own).
+PERCENT = 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +28,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id; null ids stay."""
-    gone = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    gone = near_duplicates(docs, PERCENT).where("NOT kept").select("doc_id").distinct()
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
 
 
