@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skeinflow.llm import mixing, substring_dedup
 from skeinflow.llm.bpe import encode_documents
@@ -27,9 +28,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id; null ids stay."""
-    gone = near_duplicates(docs, PERCENT).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """One row of each group of near copies, one with the smallest id (null after all others); ids need not be unique.
+
+    Groups are found on a key of each row, written once so that every use sees the same keys.
+    """
+    key = F.monotonically_increasing_id()
+    rows = stage(docs.select(key.alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), "keyed")
+    found = near_duplicates(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), PERCENT)
+    found = found.select(F.col("doc_id").alias("key"), "component_id").join(rows.select("key", F.col("row.doc_id").alias("doc_id")), "key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key"))
+    kept = found.groupBy("component_id").agg(first.alias("first")).select("first.key")
+    return rows.join(kept, "key", "left_semi").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,3 +20,16 @@ def test_near_dedup_from_80_percent(spark):
     assert 0.80 <= similarity(*texts[:2]) < 0.85 and similarity(texts[0], texts[2]) < 0.8 and similarity(texts[1], texts[2]) < 0.8
     kept = corpus_pipeline.near_dedup_stage(spark, docs(spark, texts), "")
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
+
+
+def test_near_dedup_keeps_one_row_of_a_group(spark):
+    rng = random.Random(13)
+    twice, nulls, one, other = (prose(rng, 60) for _ in range(4))
+    texts = [twice, twice, nulls, nulls, one, one, other, None, None, ""]
+    ids = [4, 4, None, None, None, 6, 6, 9, None, None]
+    kept = corpus_pipeline.near_dedup_stage(spark, docs(spark, texts, ids=ids), "")
+    assert kept.columns == docs(spark, []).columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(4, twice), (None, nulls), (6, one), (6, other), (9, None), (None, None), (None, "")], key=str)
+    stripped = corpus_pipeline.substring_stage(spark, kept, "")
+    assert {r.text for r in stripped.collect()} >= {twice, nulls, one, other}
