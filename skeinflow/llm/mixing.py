@@ -6,7 +6,8 @@ sources, and each source's to its shards, by highest quotients weight / (2 k - 1
 listed, in a range that provably holds it, so the work is in the number of sources and shards and not of blocks.
 
 A shard lays its documents end to end in a seeded order.  Its quota is a number of whole passes and a seeded run of
-consecutive blocks; a document gives its words in these.  Shards are by hash, so that a large source has many small ones.
+consecutive blocks; a document gives its words in these.  Shards are by hash, so that a large source has many small ones; a
+source of few words has fewer, so that each holds several blocks.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ SHARE_PERCENT, MOST_TIMES = 150, 2
 SHARD_ROWS, MOST_SHARDS = 256, 4096
 #: Blocks that the smallest source, and a shard of mean size, hold at least if a block of one word allows it.
 BLOCKS = 64
+#: Blocks that a shard of mean size of any source holds at least, if its source holds as many: else it has fewer shards.
+SHARD_BLOCKS = 16
 SEED = "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -81,14 +84,17 @@ def _parts(docs: DataFrame) -> DataFrame:
     sized = sized.withColumn("tie", F.xxhash64("text")).drop("text")
     sized = stage(sized, "sized")
     goals = stage(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "goals")
-    goals_named = goals.select(F.col("source").alias("goal"), "idx", "source_size", "target")
-    sized = sized.join(goals_named, F.col("source").eqNullSafe(F.col("goal"))).drop("goal")
-    sized = sized.withColumn("shard", _hash_part(F.col("key"), 1) % shards)
 
     least = F.min(F.when(F.col("source_size") > 0, F.col("source_size"))) / BLOCKS
     mean = F.sum("source_size") / (F.count("*") * shards * BLOCKS)
     block = F.greatest(F.lit(1), F.floor(F.least(least, mean))).cast("long")
     scale = goals.agg(F.coalesce(block, F.lit(1).cast("long")).alias("block"), F.sum("target").alias("all_targets"))
+    # The cap of a shard cuts off parts of a block: little where it holds several, nearly all where it is less than one.
+    mine = F.least(F.lit(shards), F.greatest(F.lit(1), F.floor(F.col("source_size") / (SHARD_BLOCKS * F.col("block")))))
+    goals_named = goals.crossJoin(scale).select(F.col("source").alias("goal"), "idx", "source_size", "target", mine.cast("long").alias("shards"))
+    sized = sized.join(goals_named, F.col("source").eqNullSafe(F.col("goal"))).drop("goal")
+    sized = sized.withColumn("shard", _hash_part(F.col("key"), 1) % F.col("shards")).drop("shards")
+
     seats = goals.crossJoin(scale).withColumn("blocks", F.floor(F.col("all_targets") / F.col("block")).cast("long"))
     seats = apportion(seats, [], "idx", "target", "blocks").select("idx", "block", F.col("quota").alias("seats"))
     pieces = sized.groupBy("idx", "shard").agg(F.sum("size").alias("shard_size")).join(seats, "idx")
