@@ -36,9 +36,11 @@ def asof(
     row = F.struct(*(F.col(c) for c in lookups.columns))
     left = lookups.select(*keys, F.col(time).alias("_t"), F.lit(1 if event_first else -1).alias("_side"), F.lit(None).cast(found.schema["_o"].dataType).alias("_o"), row.alias("_row"), F.lit(None).cast(found.schema["_e"].dataType).alias("_e"))
     right = found.select(*keys, "_t", F.lit(0).alias("_side"), "_o", F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), "_e")
-    w = Window.partitionBy(*keys).orderBy("_t", "_side", "_o")
-    near = F.last("_e", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) if back else F.first("_e", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    out = left.union(right).withColumn("_near", near).where("_row IS NOT NULL")
+    # Looking ahead is looking back along the reversed stream: a frame that runs on from the current row to the end would be
+    # read anew for each row, the square of a key's rows.
+    order_by = [F.col(c).asc() if back else F.col(c).desc() for c in ("_t", "_side", "_o")]
+    w = Window.partitionBy(*keys).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
+    out = left.union(right).withColumn("_near", F.last("_e", ignorenulls=True).over(w)).where("_row IS NOT NULL")
     return out.select("_row.*", *(F.col("_near")[n].alias(n) for n in names))
 
 

@@ -77,9 +77,17 @@ def _numbered(values: DataFrame, column: str, out: str) -> DataFrame:
     return values.withColumn(out, (F.row_number().over(Window.orderBy(column)) - 1).cast("int"))
 
 
+def _matched(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Every row of ``df`` with the other columns of the row of ``other`` that has the same keys, null being a value like others."""
+    named = other.withColumnsRenamed({k: f"_m{i}" for i, k in enumerate(keys)})
+    on = reduce(lambda a, b: a & b, [df[k].eqNullSafe(named[f"_m{i}"]) for i, k in enumerate(keys)])
+    return df.join(named, on, "left").drop(*(f"_m{i}" for i in range(len(keys))))
+
+
 def recode(df: DataFrame, column: str, out: str = "code") -> DataFrame:
-    """Position of each value among the sorted distinct ones; only the distinct values are ordered."""
-    return df.join(_numbered(df.select(column).distinct(), column, out), column)
+    """Position of each value among the sorted distinct ones, -1 for null; only the distinct values are ordered."""
+    codes = _numbered(df.select(column).where(F.col(column).isNotNull()).distinct(), column, out)
+    return _matched(df, codes, [column]).withColumn(out, F.coalesce(out, F.lit(-1)))
 
 
 def recode_from(df: DataFrame, column: str, reference: DataFrame, value: str, out: str = "code") -> DataFrame:
@@ -89,14 +97,17 @@ def recode_from(df: DataFrame, column: str, reference: DataFrame, value: str, ou
 
 
 def midrank(df: DataFrame, column: str, *within: str, out: str = "midrank") -> DataFrame:
-    """0-based ranks, ties sharing their mean; from counts of distinct values, so equal values cost one row."""
-    counts = df.groupBy(*within, column).agg(F.count("*").alias("_n"))
+    """0-based ranks, ties sharing their mean; from counts of distinct values, so equal values cost one row.
+
+    A null has no rank (null) and takes no place; a null group is a group.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(*within, column).agg(F.count("*").alias("_n"))
     if within or df.agg(F.approx_count_distinct(column)).first()[0] <= SMALL:
         upto = counts.withColumn("_u", F.sum("_n").over(Window.partitionBy(*within).orderBy(column).rowsBetween(Window.unboundedPreceding, 0)))
     else:
         upto = running_total(counts, [column], F.col("_n"), "_u")
     ranks = upto.withColumn(out, F.col("_u") - F.col("_n") + (F.col("_n") - 1) / 2.0).drop("_n", "_u")
-    return df.join(ranks, [*within, column])
+    return _matched(df, ranks, [*within, column])
 
 
 def occurrence_index(df: DataFrame, column: str, order: str = RID, out: str = "nth") -> DataFrame:
@@ -113,10 +124,10 @@ def cut(x: Column, breaks: list[float]) -> Column:
 
 
 def histogram(df: DataFrame, column: str, lo: float, hi: float, n: int, *within: str) -> DataFrame:
-    """Counts of n equal bins [from, to), zeros kept, values outside dropped; (within..., bin, count)."""
+    """Counts of n equal bins [from, to), zeros kept, values outside dropped; (within..., bin, count); a null group is a group."""
     width = (hi - lo) / n
     x = F.col(column)
     counts = df.where((x >= lo) & (x < hi)).groupBy(*within, F.floor((x - lo) / width).cast("int").alias("bin")).agg(F.count("*").alias("count"))
     every = df.sparkSession.range(n).select(F.col("id").cast("int").alias("bin"))
     cells = df.select(*within).distinct().crossJoin(every) if within else every
-    return cells.join(counts, [*within, "bin"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    return _matched(cells, counts, [*within, "bin"]).withColumn("count", F.coalesce("count", F.lit(0)))

@@ -74,7 +74,8 @@ def fill_grid(df: DataFrame, keys: list[str], time: str, value: str, start: floa
     samples = df.select(*keys, F.col(time).cast("double").alias("_t"), F.col(value).alias("_v"), F.lit(0).alias("_point"))
     w = Window.partitionBy(*keys).orderBy("_t", "_point")
     filled = samples.union(points).withColumn("_back", F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    filled = filled.withColumn("_ahead", F.first("_v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    # Only points before all samples look ahead, and to the first sample of all: one frame for the whole key, read once.
+    filled = filled.withColumn("_ahead", F.first("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     return filled.where("_point = 1").select(*keys, F.col("_t").alias(time), F.coalesce("_back", "_ahead").alias(value))
 
 

@@ -133,14 +133,19 @@ class LogStream(SimpleDataSourceStreamReader):
     def read(self, start: dict[str, Any]) -> tuple[Iterator[tuple], dict[str, Any]]:
         if not os.path.exists(self.path):
             return iter(()), start
+        rows, end, n, most = [], 0, start["n"], self.most
         with open(self.path, "rb") as f:
             opened = opened_at(f.read(HEADER))
-            f.seek(start["at"])
-            data = f.read(self.most)
-        rows, end, n = [], 0, start["n"]
-        for end, p in read_points(data, 0):
-            rows.append(row(self.path, n, opened, p))
-            n += 1
+            # A datapoint larger than the limit needs a longer read, else the stream would stand still before it.
+            while not rows:
+                f.seek(start["at"])
+                data = f.read(most)
+                for end, p in read_points(data, 0):
+                    rows.append(row(self.path, n, opened, p))
+                    n += 1
+                if len(data) < most:
+                    break
+                most *= 2
         return iter(rows), {"at": start["at"] + end, "n": n}
 
     def readBetweenOffsets(self, start: dict[str, Any], end: dict[str, Any]) -> Iterator[tuple]:
