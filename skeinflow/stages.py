@@ -15,6 +15,8 @@ def shared_dir(spark: SparkSession) -> str:
         context = spark.sparkContext
         found = context.getCheckpointDir()
         if not found:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="skeinflow-"))
             found = context.getCheckpointDir()
     return found.rstrip("/")
@@ -24,5 +26,29 @@ def settled(df: DataFrame, name: str = "stage") -> DataFrame:
     """``df`` as a written table; a lost executor costs a read, and every use sees the same rows."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skeinflow-{name}-{uuid.uuid4().hex}"
+    made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Folders of written tables that this process has made and not dropped, in order.
+made: list[str] = []
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of written tables that nothing reads any more."""
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        p = path_of(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        if path in made:
+            made.remove(path)
+
+
+def drop_settled(*tables: DataFrame) -> None:
+    """Delete tables made by ``settled`` that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            # inputFiles() may name the scheme where the path that was written did not.
+            known = [m for m in made if path.endswith(m.split(":", 1)[-1])]
+            drop(df.sparkSession, *(known or ([path] if "/skeinflow-" in path else [])))
