@@ -2,41 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinflow.stages import drop_settled, settled, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext
-        found = context.getCheckpointDir()
-        if not found:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="skeinflow-"))
-            found = context.getCheckpointDir()
-    return found.rstrip("/")
+__all__ = ["drop_stage", "labelled_sample", "remainder", "shared_dir", "stage", "table"]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skeinflow-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stage(df: DataFrame) -> None:
-    """Delete a stage table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        if "/skeinflow-" in path:
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return settled(df, name)
+
+
+def drop_stage(*tables: DataFrame) -> None:
+    """Delete stage tables that nothing reads any more."""
+    drop_settled(*tables)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

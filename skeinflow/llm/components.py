@@ -46,5 +46,6 @@ def components(links: DataFrame) -> DataFrame:
         hop = hop.select(F.col("node").alias("to"), F.col("to").alias("next"))
         found = found.join(hop, "to", "left").select("node", F.coalesce("next", "to").alias("to"))
     found = stage(found, "roots")
+    drop_stage(edges, *maps)
     least = found.groupBy("to").agg(F.min("node").alias("component"))
     return found.join(least, "to").select("node", "component")

@@ -191,36 +191,74 @@ def test_apportionment_matches_brute_force(spark):
 # --- op4
 
 
-def test_embeddings(spark):
-    rng = np.random.default_rng(0)
-    base = rng.normal(size=(60, 16))
-    vectors = [base[i % 60] + rng.normal(size=16) * (0.0 if i < 60 else 0.1) for i in range(200)]
-    rows = [(i, v.tolist(), int(i % 60 % 2)) for i, v in enumerate(vectors)] + [(300 + i, vectors[0].tolist(), 0) for i in range(40)]
-    bad = [None, [], [0.0] * 16, [float("nan")] * 16, [None] + [1.0] * 15, [float("inf")] * 16]
-    rows += [(400 + i, v, 0) for i, v in enumerate(bad)] + [(500, vectors[0].tolist(), None), (None, vectors[0].tolist(), 0), (501, vectors[0].tolist()[:8], 0), (502, (np.array(vectors[0]) * 1e-300).tolist(), 0)]
-    df = spark.createDataFrame([(*r, "x", 5) for r in rows], "vec_id long, embedding array<double>, label int, unit string, n int")
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_vectors(df).collect()}
-    ok = [(i, np.array(v), y) for i, v, y in rows if i is not None and y is not None and v and None not in v and np.isfinite(v).all() and any(v)]
-    links, parent = Counter(), {i: i for i, _, _ in rows if i is not None}
+def brute_links(rows):
+    """(vec_id, n_links, component_id, kept) of each row, rows being the nodes."""
+    ok = [k for k, (i, v, y) in enumerate(rows) if i is not None and y is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    links, parent = Counter(), list(range(len(rows)))
 
     def find(a):
         while parent[a] != a:
             a = parent[a]
         return a
 
-    for x in range(len(ok)):
-        for y in range(x):
-            (a, u, p), (b, v, q) = ok[x], ok[y]
-            if p == q and len(u) == len(v):
+    for n, a in enumerate(ok):
+        for b in ok[:n]:
+            u, v = np.array(rows[a][1]), np.array(rows[b][1])
+            if rows[a][2] == rows[b][2] and len(u) == len(v):
                 u, v = u / np.abs(u).max(), v / np.abs(v).max()
                 if u @ v / np.linalg.norm(u) / np.linalg.norm(v) >= 0.93:
                     links[a] += 1
                     links[b] += 1
-                    r, s = find(a), find(b)
-                    parent[max(r, s)] = min(r, s)
-    want = {i: (links[i], find(i), find(i) == i) for i in parent}
-    assert got.pop(None) == (0, None, True) and got == want
-    assert embedding_dedup.near_vectors(df.where("false")).count() == 0
+                    parent[find(a)] = find(b)
+    least = {}
+    for k, (i, _, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(least.get(find(k), i), i)
+    return Counter((i, links[k], None if i is None else least[find(k)], i is None or least[find(k)] == i) for k, (i, _, _) in enumerate(rows))
+
+
+def vectors_of(spark, rows):
+    return spark.createDataFrame([(*r, "x", 5, 1, [1]) for r in rows], "vec_id long, embedding array<double>, label int, unit string, n int, cls int, keys array<int>")
+
+
+def found_links(df, *levels):
+    return Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_vectors(df, *levels).collect())
+
+
+_LEVEL = [x for _, x in embedding_dedup.LEVELS]
+
+
+@pytest.mark.parametrize("levels", [[(float("inf"), _LEVEL[0])], [(110, _LEVEL[1]), (float("inf"), _LEVEL[2])], [(float("inf"), _LEVEL[3])]])
+def test_embeddings(spark, levels):
+    rng = np.random.default_rng(0)
+    base = rng.normal(size=(60, 16))
+    vectors = [base[i % 60] + rng.normal(size=16) * (0.0 if i < 60 else 0.1) for i in range(200)]
+    rows = [(i, v.tolist(), int(i % 60 % 2)) for i, v in enumerate(vectors)] + [(300 + i, vectors[0].tolist(), 0) for i in range(40)]
+    bad = [None, [], [0.0] * 16, [float("nan")] * 16, [None] + [1.0] * 15, [float("inf")] * 16]
+    rows += [(400 + i, v, 0) for i, v in enumerate(bad)] + [(500, vectors[0].tolist(), None), (None, vectors[0].tolist(), 0), (501, vectors[0].tolist()[:8], 0), (502, (np.array(vectors[0]) * 1e-300).tolist(), 0)]
+    df = vectors_of(spark, rows)
+    assert found_links(df, levels) == brute_links(rows)
+
+
+def test_embeddings_with_repeated_ids(spark):
+    rng = np.random.default_rng(2)
+    e, f = np.eye(8)[0], np.eye(8)[1]
+    near = e + 0.05 * f
+    rows = [(1, e, 0), (1, e, 1), (2, e, 0), (3, e, 1), (4, near, 0), (5, f, 0), (5, near, 0), (6, f, 0), (7, f, 1), (7, f, 1), (7, e, 1)]
+    rows += [(10, e + 2 * np.eye(8)[7], 0), (10, f + 2 * np.eye(8)[7], 0)]
+    rows = [(i, v.tolist(), y) for i, v, y in rows]
+    wide = [(20 + i % 9, (np.eye(8)[i % 3] + rng.normal(size=8) * 0.08).tolist(), 2 + i % 2) for i in range(60)]
+    for some in ([*rows, *wide], []):
+        assert found_links(vectors_of(spark, some)) == brute_links(some)
+
+
+def test_embeddings_in_blocks(spark, monkeypatch):
+    """One bucket of many blocks."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=12)
+    rows = [(i, (base + rng.normal(size=12) * 0.15).tolist(), 0) for i in range(120)]
+    assert found_links(vectors_of(spark, rows)) == brute_links(rows)
 
 
 def test_lattice():
@@ -231,14 +269,27 @@ def test_lattice():
     assert np.allclose(embedding_dedup.decode(p), p)
     d = ((x - p) ** 2).sum(axis=1)
     assert (d <= 1 + 1e-9).all() and all((((x[i] - p[i] - m) ** 2).sum(axis=1) >= d[i] - 1e-9).all() for i in range(300))
+
+
+@pytest.mark.parametrize("dim", [4, 16, 64, 256])
+@pytest.mark.parametrize("level", [x for _, x in embedding_dedup.LEVELS])
+def test_lattice_recall(dim, level):
+    """Pairs whose cosine is the bound exactly meet, and unlike ones seldom."""
     rng = np.random.default_rng(3)
-    u = embedding_dedup.unit_rows(rng.normal(size=(800, 64)))
+    u = embedding_dedup.unit_rows(rng.normal(size=(500, dim)))
     w = rng.normal(size=u.shape)
     w = embedding_dedup.unit_rows(w - (w * u).sum(axis=1, keepdims=True) * u)
     v = 0.93 * u + (1 - 0.93**2) ** 0.5 * w
-    (a, ap), (b, bp) = (embedding_dedup.cells(z, np.zeros(800, int)) for z in (u, v))
-    met = ((a == b) | (ap == b[:, :, None]).any(axis=2) | (bp == a[:, :, None]).any(axis=2)).any(axis=1)
-    assert met.mean() > 0.97
+    a, b = (embedding_dedup.cells(z, np.zeros(500, int), level) for z in (u, v))
+
+    def met(a, b):
+        return ((a == b[:, :, :1]).any(axis=2) | (b == a[:, :, :1]).any(axis=2)).any(axis=1).mean()
+
+    assert met(a, b) >= 0.97
+    if dim >= 64:
+        assert met(a, np.roll(a, 1, axis=0)) <= 0.02
+    other = embedding_dedup.cells(u, np.ones(500, int), level)
+    assert not (a == other).any()
 
 
 # --- op5
