@@ -1,19 +1,26 @@
 """Substring dedup over a log-structured fingerprint index.
 
-A window is WINDOW consecutive words.  Every window holds an anchor, the ANCHOR-word run with the least hash in it, so equal
-windows have equal anchors; about one run in nine is an anchor.  The index keeps anchors only: an immutable sorted run per
-batch, merge-joined with the runs there already to find what has been seen, and merged into fewer, larger runs once there
-are many.  Anchors seen twice name the candidate windows; these are verified over their whole word sequences by two
-independent 64-bit hashes, counted over all documents, and a window is a repeat if its sequence starts at two places.
+A window is WINDOW consecutive words.  Its fingerprint is the least hash of the ANCHOR-word runs in it, so equal windows have
+equal fingerprints, and neighbouring windows mostly share one: a text has one for about nine windows.  The index keeps the
+fingerprints of all windows of its history in immutable sorted runs, one per batch, listed in a manifest.  Each new batch is
+merge-joined with the runs to find the fingerprints that have been seen; the windows that have these, in the batch and in the
+history, are verified over their whole word sequences by two independent 64-bit hashes and counted; a window is a repeat if its
+sequence starts at two places.  Then the batch is a run too, and FANOUT runs of one tier are merged into one of the next.
 
 Equal texts are one class (two 64-bit hashes of the text) and go through all this once; each window of a class with copies
 is a repeat at once.  Texts are shuffled only for classes with candidates, picked by a semi-join with a broadcast of hash
-remainders (at most 2**20, so of bounded size; a corpus that fills them loses the saving and nothing else).
+remainders (at most 2**20, so of bounded size; a corpus that fills them loses the saving and nothing else: every text is then
+shuffled once).
+
+``repeats`` without an index takes the documents in BATCHES into an index of its own, which it drops.  With one, the documents
+are the next batch of a history that can be opened again, by another session too: the index keeps the texts of its classes
+beside the fingerprints, as windows are verified against them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -26,59 +33,129 @@ from skeinflow.llm import kernels as K
 from skeinflow.llm.common import drop_stage, shared_dir, stage
 
 WINDOW, ANCHOR = 35, 18
-#: Batches that the query adds to the index, and runs that the index holds before it merges them.
-BATCHES, FANOUT = 2, 4
+#: Batches that documents without an index are taken in, and runs of a tier that are merged into one of the next.
+BATCHES, FANOUT = 3, 2
 REMAINDERS = 1 << 20
 _OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
+_CLASS = "t1 bigint, t2 bigint, anchors array<bigint>, text string"
 
 
 class FingerprintIndex:
-    """Sorted runs (fp, n) of fingerprints, bucketed tables in the shared folder."""
+    """Runs (fp, n), sorted and in buckets by fp, and the classes of text that they come from, in a shared folder.
+
+    Opening a folder that has a manifest goes on with what that lists.  A manifest is written after the runs that it names and
+    before those it no longer names are deleted, so a failure in between leaves the index as it was.
+    """
 
-    def __init__(self, spark: SparkSession, name: str | None = None):
-        self.spark = spark
-        self.name = name or f"fingerprints_{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = FANOUT):
+        self.spark, self.fanout = spark, fanout
+        self.folder = (folder or f"{shared_dir(spark)}/skeinflow-index-{uuid.uuid4().hex}").rstrip("/")
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[str] = []
-        self.made = 0
+        self.version = 0
+        #: (name, tier) of each run, and names of the tables of classes.
+        self.runs: list[tuple[str, int]] = []
+        self.classes: list[str] = []
+        self._open()
+
+    def _path(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _open(self) -> None:
+        path, fs = self._path("manifests")
+        found = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        whole = sorted(f for f in found if f.endswith(".json"))
+        if whole:
+            path, fs = self._path(f"manifests/{whole[-1]}")
+            stream = fs.open(path)
+            try:
+                state = json.loads(str(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            finally:
+                stream.close()
+            self.version, self.buckets, self.classes = state["version"], state["buckets"], state["classes"]
+            self.runs = [(name, tier) for name, tier in state["runs"]]
+
+    def _commit(self) -> None:
+        """List the runs and classes as they are now; a manifest appears whole, by its renaming."""
+        self.version += 1
+        state = {"version": self.version, "buckets": self.buckets, "runs": self.runs, "classes": self.classes}
+        (path, fs), (final, _) = self._path(f"manifests/{self.version:08d}.part"), self._path(f"manifests/{self.version:08d}.json")
+        out = fs.create(path, False)
+        try:
+            out.write(bytearray(json.dumps(state).encode()))
+        finally:
+            out.close()
+        if not fs.rename(path, final):
+            raise RuntimeError(f"another writer has made version {self.version} of {self.folder}")
+
+    def _table(self, name: str) -> str:
+        return f"skein_{hashlib.md5(self.folder.encode()).hexdigest()[:16]}_{name}"
+
+    def run(self, name: str) -> DataFrame:
+        """A run as a table whose buckets and order Spark knows."""
+        table = self._table(name)
+        if not self.spark.catalog.tableExists(table):
+            self.spark.sql(f"CREATE TABLE {table} (fp BIGINT, n BIGINT) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{name}'")
+        return self.spark.table(table)
 
     def _write(self, rows: DataFrame) -> str:
-        table = f"{self.name}_{self.made}"
-        self.made += 1
-        path = f"{shared_dir(self.spark)}/{table}"
-        rows.write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", path).option("compression", "zstd").saveAsTable(table)
-        return table
-
-    def add(self, fingerprints: DataFrame) -> DataFrame:
-        """Add a batch (fp, n); gives the fp that the index or the batch itself has more than once by now."""
-        new = self._write(fingerprints.groupBy("fp").agg(F.sum("n").alias("n")))
-        fresh = self.spark.table(new)
+        name = f"run_{uuid.uuid4().hex}"
+        rows = rows.groupBy("fp").agg(F.sum("n").cast("bigint").alias("n"))
+        rows.write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", f"{self.folder}/{name}").option("compression", "zstd").saveAsTable(self._table(name))
+        return name
+
+    def add(self, fingerprints: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+        """Add a batch (fp, n); gives, written, the fp that history and batch together have more than once (some repeated).
+
+        ``classes`` (t1, t2, anchors, text) of the batch are kept for batches to come.
+        """
+        new = self._write(fingerprints)
+        fresh = self.run(new)
         seen = fresh.where("n > 1").select("fp")
-        for run in self.runs:
-            seen = seen.union(fresh.join(self.spark.table(run).select("fp").hint("merge"), "fp").select("fp"))
-        self.runs.append(new)
+        for name, _ in self.runs:
+            seen = seen.union(fresh.join(self.run(name).select("fp").hint("merge"), "fp").select("fp"))
+        seen = stage(seen, "seen")
+        self.runs.append((new, 0))
+        if classes is not None:
+            name = f"classes_{uuid.uuid4().hex}"
+            classes.write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
+            self.classes.append(name)
+        self._commit()
+        self.compact()
         return seen
 
+    def history(self) -> DataFrame | None:
+        """The classes of all batches added so far."""
+        paths = [f"{self.folder}/{name}" for name in self.classes]
+        return self.spark.read.schema(_CLASS).parquet(*paths) if paths else None
+
     def compact(self) -> None:
-        """Merge all runs into one."""
-        if len(self.runs) > 1:
-            rows = self.spark.table(self.runs[0])
-            for run in self.runs[1:]:
-                rows = rows.union(self.spark.table(run))
-            merged = self._write(rows.groupBy("fp").agg(F.sum("n").alias("n")))
-            for run in self.runs:
-                self._drop(run)
-            self.runs = [merged]
-
-    def _drop(self, run: str) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(self.spark)}/{run}")
-        self.spark.sql(f"DROP TABLE IF EXISTS {run}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        """Merge the runs of a tier into one of the next while any tier has ``fanout`` of them."""
+        tier = 0
+        while tier <= max((t for _, t in self.runs), default=-1):
+            full = [name for name, t in self.runs if t == tier]
+            if len(full) >= self.fanout:
+                # Read as plain files: an aggregate over a union of bucketed tables goes without a shuffle, while the scans
+                # below it may be planned without their buckets, and then one fp comes out more than once.
+                merged = self._write(self.spark.read.schema("fp bigint, n bigint").parquet(*(f"{self.folder}/{name}" for name in full)))
+                self.runs = [r for r in self.runs if r[1] != tier] + [(merged, tier + 1)]
+                self._commit()
+                for name in full:
+                    self._drop(name)
+            tier += 1
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._table(name)}")
+        path, fs = self._path(name)
+        fs.delete(path, True)
 
     def drop(self) -> None:
-        for run in self.runs:
-            self._drop(run)
-        self.runs = []
+        """Delete the index, runs that no manifest came to list included."""
+        for name, _ in self.runs:
+            self._drop(name)
+        path, fs = self._path("")
+        fs.delete(path, True)
+        self.runs, self.classes = [], []
 
 
 def _sliding(a: np.ndarray, width: int, of) -> np.ndarray:
@@ -155,8 +232,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if rows:
                 take = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("t1").take(take), batch.column("t2").take(take), pa.array(np.concatenate(places).astype(np.int32)), *(pa.array(K.signed(np.concatenate(x))) for x in (h1, h2))],
-                    ["t1", "t2", "place", "h1", "h2"],
+                    [*(batch.column(c).take(take) for c in ("mine", "t1", "t2")), pa.array(np.concatenate(places).astype(np.int32)), *(pa.array(K.signed(np.concatenate(x))) for x in (h1, h2))],
+                    ["mine", "t1", "t2", "place", "h1", "h2"],
                 )
 
 
@@ -170,41 +247,57 @@ def _pick(docs: DataFrame, classes: DataFrame, how: str) -> DataFrame:
     return docs.join(some, F.pmod(docs["t1"], F.lit(REMAINDERS)) == some["_r"], how)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def _named(classes: DataFrame, seen: DataFrame, keep: list[str]) -> DataFrame:
+    """Classes that have fingerprints in ``seen``, with these as ``fps``."""
+    rows = classes.select("t1", "t2", *keep, F.explode("anchors").alias("fp")).join(seen, "fp")
+    return rows.groupBy("t1", "t2", *keep).agg(F.collect_list("fp").alias("fps"))
+
+
+def repeats(docs: DataFrame, index: FingerprintIndex | None = None) -> DataFrame:
     """(t1, t2, everything, places): what to remove from the classes of text that have repeats.
 
-    ``everything`` says that the class has copies, so all its windows are repeats; else ``places`` has where they start.
+    ``everything`` says that the class has copies, so all its windows are repeats; else ``places`` has where they start.  With
+    an ``index``, what its history holds counts as elsewhere, and the documents join it.
     """
-    spark = docs.sparkSession
-    rid = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
+    rid = F.coalesce(F.xxhash64(F.col("doc_id").cast("string")), F.lit(0).cast("long"))
     texts = _keyed(docs.select(rid.alias("rid"), F.col("text").cast("string").alias("text"))).where("text IS NOT NULL")
     found = texts.mapInArrow(_anchors, "t1 long, t2 long, rid long, anchors array<long>, twice array<long>")
     classes = found.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.min("rid").alias("rid"), F.first("anchors").alias("anchors"), F.first("twice").alias("twice"))
     classes = stage(classes, "classes")
 
-    index = FingerprintIndex(spark)
-    seen = None
-    for b in range(BATCHES):
-        part = classes.where(F.pmod("t1", F.lit(BATCHES)) == b)
-        fps = part.select(F.explode("anchors").alias("fp"), F.lit(1).alias("n")).union(part.select(F.explode("twice").alias("fp"), F.lit(1).alias("n")))
-        hits = index.add(fps)
-        seen = hits if seen is None else seen.union(hits)
-        if len(index.runs) > FANOUT:
-            seen = stage(seen.distinct(), "seen")
-            index.compact()
-    named = classes.select("t1", "t2", "rid", F.explode("anchors").alias("fp")).join(seen.distinct(), "fp")
-    wanted = stage(named.groupBy("t1", "t2", "rid").agg(F.collect_list("fp").alias("fps")), "wanted")
-    index.drop()
-
-    rows = _pick(texts, wanted, "left_semi").join(wanted, ["t1", "t2", "rid"]).select("t1", "t2", "fps", "text")
-    windows = stage(rows.mapInArrow(_windows, "t1 long, t2 long, place int, h1 long, h2 long"), "windows")
+    def fingerprints(part: DataFrame) -> DataFrame:
+        return part.select(F.explode("anchors").alias("fp"), F.lit(1).alias("n")).union(part.select(F.explode("twice").alias("fp"), F.lit(1).alias("n")))
+
+    used = [classes]
+    if index is None:
+        own = FingerprintIndex(docs.sparkSession)
+        try:
+            hits = [own.add(fingerprints(classes.where(F.pmod("t1", F.lit(BATCHES)) == b))) for b in range(BATCHES)]
+        finally:
+            own.drop()
+        seen = hits[0]
+        for h in hits[1:]:
+            seen = seen.union(h)
+        seen, past = seen.distinct(), None
+        used += hits
+    else:
+        past = index.history()
+        here = _pick(texts, classes, "left_semi").join(classes.select("t1", "t2", "rid", "anchors"), ["t1", "t2", "rid"])
+        used.append(index.add(fingerprints(classes), here.select("t1", "t2", "anchors", "text")))
+        seen = used[-1].distinct()
+
+    wanted = stage(_named(classes, seen, ["rid"]), "wanted")
+    rows = _pick(texts, wanted, "left_semi").join(wanted, ["t1", "t2", "rid"]).select(F.lit(True).alias("mine"), "t1", "t2", "fps", "text")
+    if past is not None:
+        old = _named(past.select("t1", "t2", "anchors"), seen, [])
+        rows = rows.union(_pick(past, old, "left_semi").join(old, ["t1", "t2"]).select(F.lit(False), "t1", "t2", "fps", "text"))
+    windows = stage(rows.mapInArrow(_windows, "mine boolean, t1 long, t2 long, place int, h1 long, h2 long"), "windows")
     # Written, so that the join below is one of two plain shuffles and Spark can split the partitions of a hot window.
     twice = stage(windows.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2"), "twice")
-    places = windows.join(twice, ["h1", "h2"]).groupBy("t1", "t2").agg(F.collect_list("place").alias("places"))
+    places = windows.where("mine").join(twice, ["h1", "h2"]).groupBy("t1", "t2").agg(F.collect_set("place").alias("places"))
     copies = classes.where("n > 1").select("t1", "t2", F.lit(True).alias("everything"))
     out = stage(copies.join(places, ["t1", "t2"], "full"), "repeats")
-    for used in (classes, wanted, windows, twice):
-        drop_stage(used)
+    drop_stage(*used, wanted, windows, twice)
     return out
 
 
@@ -243,8 +336,8 @@ def _finish(keep: list[str], with_text: bool):
     return run
 
 
-def _removed(docs: DataFrame, keep: list[str], with_text: bool) -> DataFrame:
-    found = repeats(docs.select("doc_id", "text"))
+def _removed(docs: DataFrame, keep: list[str], with_text: bool, index: FingerprintIndex | None) -> DataFrame:
+    found = repeats(docs.select("doc_id", "text"), index)
     rows = _keyed(docs.withColumn("text", F.col("text").cast("string")))
     none = _pick(rows, found, "left_anti").withColumns({"everything": F.lit(None).cast("boolean"), "places": F.lit(None).cast("array<int>")})
     some = _pick(rows, found, "left_semi").join(found, ["t1", "t2"], "left")
@@ -254,22 +347,27 @@ def _removed(docs: DataFrame, keep: list[str], with_text: bool) -> DataFrame:
     return both.mapInArrow(_finish(keep, with_text), schema)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, index: FingerprintIndex | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) of every row of ``docs``.
 
     A null text has no words.  Each copy of a repeated sequence goes, the first one too, those within one document as well.
-    Rows that repeat a text lose all its windows, whatever their ids; null ids are as good as others; texts of fewer than
-    WINDOW words lose nothing; an empty table gives no rows; other columns are not looked at.
+    Rows that repeat a text lose all its windows, whatever their ids; null ids, text ids and repeated ids are as good as
+    others; texts of fewer than WINDOW words lose nothing; very long texts are worked on whole, in memory of some 60 times the
+    longest one; an empty table gives no rows; other columns, whatever their names, are not looked at.  With an ``index``, what
+    was added to it before counts as elsewhere too, and stays as it was.
     """
-    return _removed(docs.select("doc_id", "text"), ["doc_id"], False)
+    return _removed(docs.select("doc_id", "text"), ["doc_id"], False, index)
 
 
-def strip_repeats(docs: DataFrame) -> DataFrame:
+def strip_repeats(docs: DataFrame, index: FingerprintIndex | None = None) -> DataFrame:
     """The columns of ``docs`` with repeats taken out of the texts: those that lose words become the kept words joined by
-    one space (n_chars, where there is such a column, of them); rows with no words left go."""
+    one space (n_chars, where there is such a column, of them); rows with no words left go, and so do those without any.
+
+    Nulls, ids, very long texts, repeated rows and an empty table are as in ``remove_repeats``; extra columns of any names come
+    through unchanged."""
     held = [f"c{i}" for i in range(len(docs.columns))]
     rows = docs.select(*(F.col(f"`{c}`").alias(h) for c, h in zip(docs.columns, held, strict=True)), "doc_id", "text")
-    out = _removed(rows, held, True).where("n_removed < n_words")
+    out = _removed(rows, held, True, index).where("n_removed < n_words")
     made = {"text": F.coalesce("kept_text", held[docs.columns.index("text")]).cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
         n_chars = docs.schema["n_chars"].dataType

@@ -326,14 +326,39 @@ def test_substrings(spark):
     assert substring_dedup.remove_repeats(d.where("false")).count() == 0
 
 
-def test_index_is_incremental(spark):
-    index = substring_dedup.FingerprintIndex(spark)
+def test_index_runs_and_compaction(spark, tmp_path):
+    index = substring_dedup.FingerprintIndex(spark, str(tmp_path / "index"))
     batch = lambda *xs: spark.createDataFrame([(x, 1) for x in xs], "fp long, n int")
-    assert index.add(batch(1, 2, 3)).count() == 0
-    assert {r.fp for r in index.add(batch(3, 4, 4)).collect()} == {3, 4}
-    index.compact()
-    assert len(index.runs) == 1 and {r.fp for r in index.add(batch(2, 9)).collect()} == {2}
-    index.drop()
+    assert index.add(batch(1, 2, 3)).count() == 0 and [t for _, t in index.runs] == [0]
+    assert {r.fp for r in index.add(batch(3, 4, 4)).collect()} == {3, 4} and [t for _, t in index.runs] == [1]
+    again = substring_dedup.FingerprintIndex(spark, str(tmp_path / "index"))
+    assert again.runs == index.runs and {r.fp: r.n for r in again.run(again.runs[0][0]).collect()} == {1: 1, 2: 1, 3: 2, 4: 2}
+    assert {r.fp for r in again.add(batch(2, 9)).collect()} == {2} and [t for _, t in again.runs] == [1, 0]
+    assert again.add(batch(7)).count() == 0 and [t for _, t in again.runs] == [2]
+    with pytest.raises(RuntimeError):
+        index._commit()  # a writer that has not seen the later versions
+    again.drop()
+    assert not (tmp_path / "index").exists()
+
+
+def test_repeats_of_an_earlier_day(spark, tmp_path):
+    """Day 2 finds what day 1 holds after the index is opened anew, by another session."""
+    rng = random.Random(15)
+    passage, whole, own = prose(rng, 50), prose(rng, 60), prose(rng, 45)
+    near = passage.split()[:34] + ["other"]  # shares an anchor with the passage, and no window
+    days = [
+        [prose(rng, 40) + " " + passage + " " + prose(rng, 10), whole, prose(rng, 80), None],
+        [prose(rng, 15) + " " + passage + " " + prose(rng, 30), whole, prose(rng, 70), own + " x " + own, " ".join(near) + " " + prose(rng, 20), "", None],
+        [passage, own, prose(rng, 50)],
+    ]
+    for day, texts in enumerate(days):
+        session = spark if day == 0 else spark.newSession()
+        index = substring_dedup.FingerprintIndex(session, str(tmp_path / "history"))
+        d = session.createDataFrame([(f"id{i}", t) for i, t in enumerate(texts)], "doc_id string, text string")
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(d, index).collect()}
+        past = [t for earlier in days[:day] for t in earlier]
+        assert got == {f"id{i}": x for i, x in enumerate(brute_repeats([*texts, *past])[: len(texts)])}
+        assert day == 0 or any(r for _, r, _ in got.values())
 
 
 # --- op6
