@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from skeinflow.llm import chat, embedding_dedup, mixing, substring_dedup, warc
+from skeinflow.llm import chat, embedding_dedup, minhash_dedup, mixing, substring_dedup, warc
 from skeinflow.llm.bpe import encode_documents
 from skeinflow.llm.common import table
 from skeinflow.llm.minhash_dedup import near_duplicates
@@ -17,7 +17,6 @@ from skeinflow.llm.quality_rules import quality
 from skeinflow.llm.toxicity import toxicity
 
 
-
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame(chat.EXTRA, turns.schema)
@@ -76,5 +75,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_formatting": chat.ORACLE, "op3_mixing": mixing.ORACLE, "op4_embedding_near_dedup": embedding_dedup.ORACLE,
-        "op5_substring_dedup": substring_dedup.ORACLE,
+        "op5_substring_dedup": substring_dedup.ORACLE, "op10_minhash_near_dedup": minhash_dedup.ORACLE,
     }

@@ -439,12 +439,102 @@ def test_quality_rules(spark):
     assert quality_rules.quality(d.where("false")).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    rng = np.random.default_rng(0)
-    codes, counts = np.unique((rng.integers(97, 105, 4000) << 14) | (rng.integers(97, 105, 4000) << 7) | rng.integers(97, 105, 4000), return_counts=True)
-    bits = quality_rules.unfold(*quality_rules.kneser_ney(codes.astype(np.int64), counts))
-    for context in (97 << 7 | 98, 5 << 7 | 6, 5 << 7 | 98):
-        assert (2.0 ** -bits[context << 7 : (context + 1) << 7]).sum() == pytest.approx(1, abs=1e-3)
+
+
+def brute_kneser_ney(texts):
+    """Interpolated modified Kneser-Ney over character n-grams, by dictionaries: a function (history, symbol) -> probability."""
+    order = quality_rules.ORDER
+    level = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        line = ["^"] * (order - 1) + [" " if c in " \t\n\x0b\x0c\r" else c for c in t]
+        level[order].update(tuple(line[i : i + order]) for i in range(len(line) - order + 1))
+    for k in range(order - 1, 0, -1):
+        level[k] = Counter(g[1:] for g in level[k + 1])
+    rates, totals = {}, defaultdict(Counter)
+    for k in range(1, order + 1):
+        n = Counter(level[k].values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+        good = all(n[i] for i in (1, 2, 3, 4))
+        rates[k] = [0, *(min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.01), i - 0.01) if good else (0.5, 0.75, 0.9)[i - 1] for i in (1, 2, 3))]
+        for g, c in level[k].items():
+            totals[k][g[:-1]] += c
+            totals[-k][g[:-1]] += rates[k][min(c, 3)]
+
+    def probability(history, symbol):
+        p = 1 / 65536
+        for k in range(1, order + 1):
+            context = tuple(history)[order - k :]
+            if totals[k][context]:
+                c = level[k][(*context, symbol)]
+                p = (c - rates[k][min(c, 3)] if c else 0) / totals[k][context] + totals[-k][context] / totals[k][context] * p
+        return p
+
+    return probability, level
+
+
+def model_of(spark, texts, most):
+    d = docs(spark, texts).withColumn("lang", F.lit("xx"))
+    counts = quality_rules._grouped(d.select("text", "lang")).select("grp", "text").mapInArrow(quality_rules._count, "grp long, code long, n long").groupBy("grp", "code").agg(F.sum("n").alias("n"))
+    table = pa.Table.from_pandas(quality_rules.kneser_ney(counts, most).toPandas(), preserve_index=False)
+    return quality_rules._arrays(tuple(quality_rules._packed(table).to_pylist()[0][a] for a in quality_rules._ARRAYS))
+
+
+def code_of(history, symbol):
+    c = 0
+    for x in (*history, symbol):
+        c = c << 16 | (1 if x == "^" else ord(x) & 0xFFFF)
+    return c
+
+
+def test_kneser_ney(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("aabcd é漢🙂 ") for _ in range(rng.randint(0, 60))) for _ in range(80)] + ["aaaa", ""]
+    probability, level = brute_kneser_ney(texts)
+    arrays = model_of(spark, texts, 1 << 17)
+    assert all((a[1:] > a[:-1]).all() for a in (arrays[0], arrays[2]))
+    ask = [((*g[:-1],), g[-1]) for g in rng.sample(sorted(level[4]), 200)] + [(tuple(rng.choice("abcd é漢zq") for _ in range(3)), rng.choice("abcd z🙂")) for _ in range(300)]
+    got = quality_rules.bits(arrays, np.array([code_of(*x) for x in ask], dtype=np.uint64))
+    assert got == pytest.approx([-np.log2(max(probability(*x), 2.0**-40)) for x in ask], abs=1e-3)
+    # What is pruned goes to the shorter n-grams: over all symbols the probabilities still sum to one.
+    for most in (1 << 17, 20):
+        arrays = model_of(spark, texts, most)
+        for history in (("^", "^", "^"), ("a", "a", "b"), ("q", "q", "a"), ("q", "q", "q")):
+            every = np.array([code_of(history, chr(0)) | x for x in range(1 << 16)], dtype=np.uint64)
+            assert (2.0 ** -quality_rules.bits(arrays, every)).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_bands_by_brute_force(spark):
+    """Verdicts from the scores by plain Python, languages beyond those broadcast included."""
+    rng = random.Random(21)
+    langs = [None, *(f"l{i}" for i in range(quality_rules.LANGUAGES + 2))]
+    texts, of = [], []
+    for k, lang in enumerate(langs):
+        letters = "".join(chr(97 + (7 * k + j) % 26) for j in range(8)) + "é漢"
+        for i in range(9 + k):
+            word = lambda: "".join(rng.choice(letters if i else "0123456789") for _ in range(rng.randint(2, 7)))  # noqa: B023, E731
+            texts.append(" ".join(word() for _ in range(rng.randint(45, 160))))
+            of.append(lang)
+    d = docs(spark, texts).withColumn("lang", F.element_at(F.array(*(F.lit(x).cast("string") for x in langs)), F.lit(1)))
+    named = spark.createDataFrame(list(enumerate(of)), "doc_id long, lang string")
+    d = d.drop("lang").join(named, "doc_id")
+    rows = {r.doc_id: r for r in quality_rules.quality(d).collect()}
+    assert len(rows) == len(texts)
+    for lang in langs:
+        mine = [rows[i] for i in range(len(texts)) if of[i] == lang]
+        probability, _ = brute_kneser_ney([texts[r.doc_id] for r in mine])
+        for r in mine[:3]:
+            line = ["^"] * 3 + list(texts[r.doc_id])
+            assert r.bits == pytest.approx(np.mean([-np.log2(probability(line[i : i + 3], line[i + 3])) for i in range(len(line) - 3)]), abs=2e-3)
+        ok = {r.doc_id: not r.base_failed for r in mine}
+        for k, of_row in enumerate((lambda r: round(r.bits * 1000), lambda r: round(r.word_bits * 1000))):
+            good = sorted(of_row(r) for r in mine if not r.base_failed)
+            middle = good[(len(good) - 1) // 2]
+            half = max(quality_rules.BAND * sorted(abs(x - middle) for x in good)[(len(good) - 1) // 2], quality_rules.LEAST[k])
+            for r in mine:
+                scale = min(quality_rules.WIDE, max(quality_rules.NARROW, (quality_rules.TYPICAL / r.n_words) ** 0.5))
+                ok[r.doc_id] &= abs(of_row(r) - middle) <= half * scale
+                assert abs(r.word_bits * r.n_words - r.bits * len(texts[r.doc_id])) < 2
+        assert {r.doc_id: r.kept for r in mine} == ok
 
 
 # --- op10

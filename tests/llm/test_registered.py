@@ -1,7 +1,7 @@
 import pytest
 
 import corpus_pipeline
-from skeinflow.llm import registry
+from skeinflow.llm import quality_rules, registry
 from skeinflow.llm.common import table
 from tests.oracle import connect, same
 
@@ -17,6 +17,12 @@ def test_whole_table(spark, data, name):
     assert registry.queries()[name](spark, data).count() == table(spark, data, of).count()
 
 
+def test_quality_counts(spark, data):
+    """All that SQL can say of op9's rows."""
+    got = registry.queries()["op9_quality_rules"](spark, data).drop("bits", "word_bits", "kept")
+    same(got, connect(data), quality_rules.COUNTS)
+
+
 def test_pipeline_stages(spark, data, tmp_path):
     docs = table(spark, data, "documents")
     columns, counts = docs.columns, [docs.count()]
