@@ -56,10 +56,10 @@ def sorted_lists(spark, d):
     return cells.select("o_orderstatus", "o_orderpriority", F.size("o_orderkey").cast("long").alias("n"), lists.int_total("o_orderkey").alias("key_sum"), lists.first("o_orderkey").alias("first_key"))
 
 
-@query("group_split", "SELECT l_shipmode_count AS n, l_returnflag FROM (SELECT l_returnflag, count(*)::BIGINT AS l_shipmode_count FROM lineitem GROUP BY 1)")
+@query("group_split", "SELECT o_custkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INTEGER AS i, o_totalprice FROM orders")
 def group_split(spark, d):
-    rows = t(spark, d, "lineitem").select("l_returnflag", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("o"), "l_quantity")
-    return grouping.split(rows, "l_returnflag", "l_quantity", "o").select("l_returnflag", F.size("l_quantity").cast("long").alias("n"))
+    lists_of = grouping.split(t(spark, d, "orders"), "o_custkey", "o_totalprice", "o_orderkey")
+    return lists_of.select("o_custkey", F.posexplode("o_totalprice").alias("i", "o_totalprice"))
 
 
 # --- elementwise
@@ -237,9 +237,9 @@ def semi_join(spark, d):
     return membership.semi(t(spark, d, "customer"), "c_custkey", t(spark, d, "orders"), "o_custkey").select("c_custkey")
 
 
-@query("anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)")
 def anti_join(spark, d):
-    return membership.anti(t(spark, d, "customer"), "c_custkey", t(spark, d, "orders"), "o_custkey").select("c_custkey")
+    return membership.anti(t(spark, d, "customer"), "c_custkey", t(spark, d, "orders").where("o_totalprice > 250000"), "o_custkey").select("c_custkey")
 
 
 @query("count_occurrences", "SELECT n_nationkey, count(c_custkey)::BIGINT AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
@@ -331,14 +331,23 @@ def unique_cross(spark, d):
     return grouping.unique_cross(t(spark, d, "orders"), "o_orderstatus", "o_orderpriority")
 
 
-@query("recode", "SELECT c_custkey, (dense_rank() OVER (ORDER BY c_mktsegment) - 1)::INTEGER AS code FROM customer")
+_NULLS = "(SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS s, CASE WHEN c_nationkey % 4 <> 0 THEN c_nationkey END AS n, c_acctbal FROM customer)"
+
+
+def _customers(spark, d):
+    """Customers with nulls in s and n."""
+    n = F.when(F.col("c_nationkey") % 4 != 0, F.col("c_nationkey"))
+    return t(spark, d, "customer").select("c_custkey", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("s"), n.alias("n"), "c_acctbal")
+
+
+@query("recode", f"SELECT c_custkey, CASE WHEN s IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY s NULLS LAST) - 1 END::INTEGER AS code FROM {_NULLS}")
 def recode(spark, d):
-    return grouping.recode(t(spark, d, "customer"), "c_mktsegment").select("c_custkey", "code")
+    return grouping.recode(_customers(spark, d), "s").select("c_custkey", "code")
 
 
-@query("midrank", "SELECT c_custkey, rank() OVER (ORDER BY c_nationkey) - 1 + (count(*) OVER (PARTITION BY c_nationkey) - 1) / 2.0 AS midrank FROM customer")
+@query("midrank", f"SELECT c_custkey, CASE WHEN n IS NOT NULL THEN rank() OVER (ORDER BY n NULLS LAST) - 1 + (count(*) OVER (PARTITION BY n) - 1) / 2.0 ELSE -1 END AS midrank FROM {_NULLS}")
 def midrank(spark, d):
-    return grouping.midrank(t(spark, d, "customer"), "c_nationkey").select("c_custkey", "midrank")
+    return grouping.midrank(_customers(spark, d), "n").select("c_custkey", F.coalesce("midrank", F.lit(-1.0)).alias("midrank"))
 
 
 @query("occurrence_index", "SELECT c_custkey, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::INTEGER AS nth FROM customer")
@@ -376,9 +385,9 @@ def intersect_rows(spark, d):
     return t(spark, d, "customer").where("c_acctbal > 5000").select(F.col("c_nationkey").alias("k")).intersect(t(spark, d, "supplier").where("s_acctbal > 5000").select("s_nationkey"))
 
 
-@query("except_rows", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("except_rows", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 250000")
 def except_rows(spark, d):
-    return t(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(t(spark, d, "orders").select("o_custkey"))
+    return t(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(t(spark, d, "orders").where("o_totalprice > 250000").select("o_custkey"))
 
 
 # --- ordered rows
@@ -430,17 +439,14 @@ def conv_rows(spark, d):
 
 @query(
     "fill_grid",
-    """WITH s AS (SELECT user_id, epoch(ts) AS x, value, event_id FROM events WHERE user_id < 20), u AS (SELECT user_id, x, arg_max(value, event_id) AS value FROM s GROUP BY ALL),
-    lim AS (SELECT floor(min(x)) AS x0, floor(max(x)) AS x1 FROM s), g AS (SELECT DISTINCT user_id, x0 + i * floor((x1 - x0) / 10) AS x FROM s, lim, range(11) r(i))
-    SELECT g.user_id, (g.x - lim.x0)::BIGINT AS at, coalesce(b.value, (SELECT arg_min(value, x) FROM u WHERE u.user_id = g.user_id)) AS value FROM g ASOF LEFT JOIN u b ON g.user_id = b.user_id AND g.x >= b.x, lim""",
+    """WITH s AS (SELECT user_id, epoch(ts) - epoch(TIMESTAMP '2024-01-01') AS x, value, event_id FROM events), u AS (SELECT user_id, x, arg_max(value, event_id) AS value FROM s GROUP BY ALL),
+    g AS (SELECT user_id, i * 86400.0 AS x FROM (SELECT DISTINCT user_id FROM s), range(31) r(i)), lo AS (SELECT user_id, arg_min(value, x) AS first_value FROM u GROUP BY 1)
+    SELECT g.user_id, g.x::BIGINT AS at, coalesce(b.value, first_value) AS value FROM g ASOF LEFT JOIN u b ON g.user_id = b.user_id AND g.x >= b.x JOIN lo ON lo.user_id = g.user_id""",
 )
 def fill_grid(spark, d):
-    e = _events(spark, d).where("user_id < 20").withColumn("x", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    x0, x1 = e.agg(F.floor(F.min("x")), F.floor(F.max("x"))).first()
+    e = _events(spark, d).withColumn("x", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - F.unix_micros(F.lit("2024-01-01").cast("timestamp")) / 1e6)
     last = e.groupBy("user_id", "x").agg(F.max_by("value", "event_id").alias("value"))
-    step = (x1 - x0) // 10
-    out = ordered.fill_grid(last, ["user_id"], "x", "value", float(x0), float(x0 + 10 * step), float(step))
-    return out.select("user_id", (F.col("x") - x0).cast("long").alias("at"), "value")
+    return ordered.fill_grid(last, ["user_id"], "x", "value", 0.0, 30 * 86400.0, 86400.0).select("user_id", F.col("x").cast("long").alias("at"), "value")
 
 
 # --- as-of lookups
@@ -475,15 +481,15 @@ def first_with_data(spark, d):
 
 @query(
     "sessionise_obs",
-    f"""WITH e AS (SELECT *, sum((event_type = 'login')::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM events),
-    f AS (SELECT *, coalesce(sum((event_type = 'logout')::INTEGER) OVER (PARTITION BY user_id, n ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended,
-      max((event_type = 'logout')::INTEGER) OVER (PARTITION BY user_id, n) AS whole FROM e),
+    f"""WITH e AS (SELECT *, sum((event_type = 'signup')::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM events),
+    f AS (SELECT *, coalesce(sum((event_type IN ('purchase', 'error', 'view'))::INTEGER) OVER (PARTITION BY user_id, n ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended,
+      max((event_type IN ('purchase', 'error', 'view'))::INTEGER) OVER (PARTITION BY user_id, n) AS whole FROM e),
     g AS (SELECT *, max(CASE WHEN n > 0 AND whole = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS broken FROM f)
     SELECT event_id, (n - 1)::BIGINT AS obs FROM g WHERE n > 0 AND ended = 0 AND whole = 1 AND broken = 0""",
 )
 def sessionise_obs(spark, d):
     e = _events(spark, d).withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp")))
-    s = sessions.sessionise(e, ["user_id"], ["ts", "event_id"], F.col("event_type") == "login", F.col("event_type") == "logout", "micros")
+    s = sessions.sessionise(e, ["user_id"], ["ts", "event_id"], F.col("event_type") == "signup", F.col("event_type").isin("purchase", "error", "view"), "micros")
     return s.select("event_id", "obs")
 
 
@@ -637,22 +643,21 @@ def cross(spark, d):
     return grouping.cross(t(spark, d, "region").select("r_name"), t(spark, d, "nation").select("n_name"))
 
 
-@query("all_differences", "SELECT a.s_suppkey AS a, b.s_suppkey AS b, round(a.s_acctbal - b.s_acctbal, 4) AS d FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey")
+@query("all_differences", "SELECT a.s_nationkey, round(a.s_acctbal - b.s_acctbal, 4) AS d FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey")
 def all_differences(spark, d):
-    s = t(spark, d, "supplier").select("s_nationkey", F.col("s_suppkey").alias("a"), F.col("s_acctbal").alias("x"))
-    o = s.toDF("s_nationkey", "b", "y")
-    return s.join(o, "s_nationkey").where("a <> b").select("a", "b", r4(F.col("x") - F.col("y"), "d"))
+    by_nation = grouping.split(t(spark, d, "supplier"), "s_nationkey", "s_acctbal", "s_suppkey")
+    return by_nation.select("s_nationkey", F.explode(lists.idiff_self("s_acctbal")).alias("d")).select("s_nationkey", r4(F.col("d"), "d"))
 
 
 # --- matrices
 
 
 def _cells(spark, d):
-    e = t(spark, d, "embeddings").where("vec_id < 40").select(F.col("vec_id").alias("i"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("row"))
+    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.transform("embedding", lambda x: x.cast("double")).alias("row"))
     return e.select("i", F.posexplode("row").alias("j", "v"))
 
 
-_M = "WITH m AS (SELECT vec_id AS i, unnest(range(8)) AS j, unnest(embedding[1:8])::DOUBLE AS v FROM embeddings WHERE vec_id < 40) "
+_M = "WITH m AS (SELECT vec_id AS i, unnest(range(len(embedding))) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings) "
 
 
 @query("matmul", _M + "SELECT a.j::INTEGER AS i, b.j::INTEGER AS j, round(sum(a.v * b.v), 4) AS v FROM m a JOIN m b ON a.i = b.i GROUP BY ALL")
@@ -698,13 +703,12 @@ def json_get(spark, d):
     return e.select("event_id", jsonfns.get("props", "k").alias("k"), jsonfns.valid("props").alias("ok"))
 
 
-@query("json_rows", "SELECT n_nationkey, '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' AS json FROM nation")
+@query("json_rows", "SELECT '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' AS json FROM nation")
 def json_rows(spark, d):
-    n = t(spark, d, "nation").select("n_nationkey", "n_name")
-    return n.select("n_nationkey", F.to_json(F.struct("n_nationkey", "n_name")).alias("json"))
+    return jsonfns.rows_json(t(spark, d, "nation").select("n_nationkey", "n_name"))
 
 
-@query("json_columns")
+@query("json_columns", """SELECT '{"r_name":[' || string_agg('"' || r_name || '"', ',' ORDER BY r_regionkey) || '],"r_regionkey":[' || string_agg(r_regionkey::VARCHAR, ',' ORDER BY r_regionkey) || ']}' AS json FROM region""")
 def json_columns(spark, d):
     return jsonfns.columns_json(t(spark, d, "region").select(F.col("r_regionkey").alias("o"), "r_name", "r_regionkey"), "o")
 
@@ -714,11 +718,12 @@ def json_columns(spark, d):
 
 @query(
     "roc_area",
-    """SELECT round(sum(CASE WHEN p.value > n.value THEN 1.0 WHEN p.value = n.value THEN 0.5 ELSE 0 END) / count(*), 4) AS area, 1 AS k FROM (SELECT value FROM events WHERE event_type = 'purchase' AND user_id < 50) p,
-    (SELECT value FROM events WHERE event_type <> 'purchase' AND user_id < 50) n""",
+    """WITH r AS (SELECT event_type = 'purchase' AS pos, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS rank FROM events),
+    n AS (SELECT count(*) FILTER (pos) AS a, count(*) FILTER (NOT pos) AS b, sum(rank) FILTER (pos) AS s FROM r)
+    SELECT 1 AS k, round((s - a * (a + 1) / 2.0) / (a::DOUBLE * b), 4) AS area FROM n""",
 )
 def roc_area(spark, d):
-    e = _events(spark, d).where("user_id < 50").withColumn("k", F.lit(1)).withColumn("pos", (F.col("event_type") == "purchase").cast("int"))
+    e = _events(spark, d).withColumn("k", F.lit(1)).withColumn("pos", (F.col("event_type") == "purchase").cast("int"))
     return tuning.roc_area(e, ["k"], "value", "pos").select("k", r4(F.col("area"), "area"))
 
 
@@ -746,10 +751,16 @@ def _trains(spark, d):
     return e.groupBy((F.col("user_id") % 50).alias("k")).agg(F.array_sort(F.collect_list("t")).alias("times"))
 
 
-@query("spike_density")
+@query(
+    "spike_density",
+    """WITH t AS (SELECT user_id % 50 AS k, trunc((epoch_us(ts) / 1000.0) % 1000)::BIGINT AS at, count(*) AS c FROM events GROUP BY ALL),
+    kern AS (SELECT j, exp(-j * j / 100.0) / (2 * (SELECT sum(exp(-x * x / 100.0)) FROM range(31) r(x))) AS w FROM range(-30, 31) r(j)),
+    v AS (SELECT k, at + j AS i, sum(c * w) AS v FROM t, kern GROUP BY ALL)
+    SELECT g.k, g.i::INTEGER AS i, round(coalesce(v, 0), 4) AS v FROM (SELECT DISTINCT k, i FROM t, range(1000) r(i)) g LEFT JOIN v ON v.k = g.k AND v.i = g.i""",
+)
 def spike_density(spark, d):
-    x = _trains(spark, d).withColumn("s", signal.sdf(F.col("times"), 0, 999, 10.0))
-    return x.select("k", F.size("s").alias("n"), r4(lists.total("s"), "total"))
+    x = _trains(spark, d).select("k", F.posexplode(signal.sdf(F.col("times"), 0, 999, 10.0)).alias("i", "v"))
+    return x.select("k", "i", r4(F.col("v"), "v"))
 
 
 @query("adaptive_density")
@@ -758,7 +769,13 @@ def adaptive_density(spark, d):
     return x.select("k", F.size("s").alias("n"), r4(lists.total("s"), "total"))
 
 
-@query("power_spectrum")
+@query(
+    "power_spectrum",
+    """WITH e AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+    f AS (SELECT vec_id, fr, j, sum(x * sqrt(2 / 65.0) * sin(pi() * (j + 1) * (i + 1) / 65) * cos(2 * pi() * fr * i / 64)) AS re,
+    sum(x * sqrt(2 / 65.0) * sin(pi() * (j + 1) * (i + 1) / 65) * sin(2 * pi() * fr * i / 64)) AS im FROM e, range(33) a(fr), range(3) b(j) GROUP BY ALL)
+    SELECT vec_id, round(fr::DOUBLE, 4) AS freq, round(sum(re * re + im * im) / 3, 4) AS power FROM f GROUP BY vec_id, fr""",
+)
 def power_spectrum(spark, d):
     e = t(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
     return signal.spectra(e, "vec_id", "x", 64.0).select("vec_id", r4(F.col("freq"), "freq"), r4(F.col("power"), "power"))
@@ -771,7 +788,15 @@ def cross_correlogram(spark, d):
     return spikes.cross_correlogram(x, ["g"], "k", "times", "b", 1000, 5).select("g", "lag", *(r4(F.col(c), c) for c in ("raw", "shuffled", "corrected")))
 
 
-@query("dbscan_grid")
+@query(
+    "dbscan_grid",
+    """WITH RECURSIVE p AS (SELECT vec_id AS k, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+    near AS (SELECT a.k AS a, b.k AS b FROM p a JOIN p b ON pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 0.02::DOUBLE * 0.02::DOUBLE),
+    core AS (SELECT a FROM near GROUP BY a HAVING count(*) >= 3), links AS (SELECT a, b FROM near WHERE a IN (FROM core) AND b IN (FROM core)),
+    reach(a, b) AS (SELECT a, a FROM core UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a), roots AS (SELECT a, min(b) AS root FROM reach GROUP BY a),
+    ids AS (SELECT root, row_number() OVER (ORDER BY root) AS c FROM (SELECT DISTINCT root FROM roots)), border AS (SELECT near.a, min(root) AS root FROM near JOIN roots ON near.b = roots.a GROUP BY near.a)
+    SELECT k AS vec_id, coalesce(c, 0)::INTEGER AS cluster FROM p LEFT JOIN roots ON roots.a = k LEFT JOIN border ON border.a = k LEFT JOIN ids ON ids.root = coalesce(roots.root, border.root)""",
+)
 def dbscan_grid(spark, d):
     p = t(spark, d, "embeddings").select("vec_id", F.get("embedding", F.lit(0)).alias("x"), F.get("embedding", F.lit(1)).alias("y"))
     return cluster.dbscan(p, "vec_id", "x", "y", 0.02, 3)
@@ -784,37 +809,53 @@ def dtw_matrix(spark, d):
     return cluster.dtw_matrix(p, "vec_id", "path", blocks=max(8, -(-p.count() // 1000))).select("a", "b", r4(F.col("distance"), "distance"))
 
 
-@query("eye_events")
+@query(
+    "eye_events",
+    """WITH steps AS (SELECT vec_id, list_transform(range(1, len(embedding)), lambda i: abs(embedding[i + 1]::DOUBLE - embedding[i]::DOUBLE) * 40) AS step FROM embeddings),
+    big AS (SELECT vec_id, list_filter(step, lambda x: x >= 0.24) AS s FROM steps)
+    SELECT vec_id, len(s)::INTEGER AS n, round(list_sum(s), 4) AS travelled, len(s)::INTEGER + 1 AS n_fix FROM big""",
+)
 def eye_events(spark, d):
-    n = F.sequence(F.lit(0), F.lit(399))
-    x = spark.range(20).select("id", F.transform(n, lambda i: F.when(i < 150, 0.0).otherwise(F.least((i - 150) * 1.0, F.lit(8.0))) + 0.01 * F.sin(i * 0.7)).alias("h"), F.transform(n, lambda i: 0.01 * F.cos(i * 0.3)).alias("v"), F.transform(n, lambda i: i * 0.004).alias("s"), F.array_repeat(F.lit(0), 400).alias("blink"))
+    # Each component is a place (degrees) that the gaze holds for 0.1 s: every step of 0.24 degrees or more is a saccade.
+    held = F.flatten(F.transform("embedding", lambda x: F.array_repeat(x.cast("double") * 40, 25)))
+    x = t(spark, d, "embeddings").select("vec_id", held.alias("h"))
+    x = x.select("vec_id", "h", F.transform("h", lambda y: F.lit(0.0)).alias("v"), F.transform("h", lambda y, i: i * 0.004).alias("s"), F.transform("h", lambda y: F.lit(0)).alias("blink"))
     e = eye.extract_events(x, "h", "v", "s", "blink")
-    return e.select("id", F.size("saccades").alias("n"), r4(F.get("saccades", F.lit(0))["amp"], "amp"), F.size("fixations").alias("n_fix"))
+    travelled = F.aggregate(F.transform("saccades", lambda y: y["amp"]), F.lit(0.0), lambda acc, y: acc + y)
+    return e.select("vec_id", F.size("saccades").alias("n"), r4(travelled, "travelled"), F.size("fixations").alias("n_fix"))
 
 
 _GRID = (0.0, 100.0, 0.0, 100.0)
 
 
 def _points(spark, d):
-    return _events(spark, d).where("user_id < 100").select(F.col("value").alias("x"), F.col("user_id").cast("double").alias("y"))
+    return _events(spark, d).select(F.col("value").alias("x"), F.col("user_id").cast("double").alias("y"))
 
 
 @query(
     "kde_grid",
-    f"""WITH p AS (SELECT value AS x, user_id::DOUBLE AS y FROM events WHERE user_id < 100)
+    f"""WITH p AS (SELECT value AS x, user_id::DOUBLE AS y FROM events)
     SELECT gx::INTEGER AS gx, gy::INTEGER AS gy, round(avg(exp(-(pow(gx * 10 + 5 - x, 2) + pow(gy * 10 + 5 - y, 2)) / 50.0)) / (2 * pi() * 25), 8) AS density FROM range(10) a(gx), range(10) b(gy), p GROUP BY ALL""",
 )
 def kde_grid(spark, d):
     return trajectory.kde(_points(spark, d), _GRID, 10, 10, 5.0).select("gx", "gy", F.round("density", 8).alias("density"))
 
 
-@query("kde_peaks")
+@query(
+    "kde_peaks",
+    """WITH p AS (SELECT value AS x, user_id::DOUBLE AS y FROM events), g AS (SELECT gx, gy, avg(exp(-(pow(gx * 4 + 2 - x, 2) + pow(gy * 4 + 2 - y, 2)) / 32.0)) / (2 * pi() * 16) AS v FROM range(25) a(gx), range(25) b(gy), p GROUP BY ALL)
+    SELECT c.gx::INTEGER AS gx, c.gy::INTEGER AS gy, round(any_value(c.v), 8) AS density FROM g c JOIN g o ON abs(c.gx - o.gx) <= 1 AND abs(c.gy - o.gy) <= 1 AND (c.gx <> o.gx OR c.gy <> o.gy)
+    WHERE c.gx BETWEEN 1 AND 23 AND c.gy BETWEEN 1 AND 23 GROUP BY ALL HAVING max(o.v) <= any_value(c.v)""",
+)
 def kde_peaks(spark, d):
-    points = _events(spark, d).select(F.col("value").alias("x"), F.col("user_id").cast("double").alias("y"))
-    return trajectory.peaks(trajectory.kde(points, _GRID, 25, 25, 4.0), 25, 25, 0.0).select("gx", "gy", F.round("density", 8).alias("density"))
+    return trajectory.peaks(trajectory.kde(_points(spark, d), _GRID, 25, 25, 4.0), 25, 25, 0.0).select("gx", "gy", F.round("density", 8).alias("density"))
 
 
-@query("trajectory_turns")
+@query(
+    "trajectory_turns",
+    f"""WITH e AS (SELECT user_id, value - lag(value) OVER {_W} AS u, lead(value) OVER {_W} - value AS w FROM events)
+    SELECT user_id, count(*) FILTER (acos(greatest(-1, least(1, (100 + u * w) / (sqrt(100 + u * u) * sqrt(100 + w * w))))) > 0.5)::INTEGER AS n FROM e GROUP BY 1""",
+)
 def trajectory_turns(spark, d):
     e = _events(spark, d).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("l"))
     p = e.select("user_id", F.transform("l", lambda x, i: F.struct((i * 10.0).alias("x"), x["value"].alias("y"))).alias("p"))
@@ -844,7 +885,10 @@ def polygon_measures(spark, d):
     return s.select("s_suppkey", r4(lists.shoelace("p"), "area"), r4(lists.centroid("p")["x"], "cx"), r4(lists.centroid("p")["y"], "cy"))
 
 
-@query("polygon_intersection")
+@query(
+    "polygon_intersection",
+    "SELECT s_suppkey, 1 AS rings, round((4 - (s_nationkey % 3 + 1)) * 3.0, 4) AS area FROM supplier",
+)
 def polygon_intersection(spark, d):
     def square(x, y):
         return F.array(*(F.struct((x + a).cast("double").alias("x"), (y + b).cast("double").alias("y")) for a, b in ((0, 0), (4, 0), (4, 4), (0, 4))))
@@ -864,7 +908,12 @@ def map_units(spark, d):
     return parallel.map_units(spark, 20, lambda i, state, seed: i * i).select("unit", "result")
 
 
-@query("speed_rows")
+@query(
+    "speed_rows",
+    f"""WITH e AS (SELECT event_id, user_id, ts, value, epoch_us(ts) / 1e6 AS s FROM events),
+    w AS (SELECT event_id, coalesce(lead(value) OVER {_W}, value) - coalesce(lag(value) OVER {_W}, value) AS dv, coalesce(lead(s) OVER {_W}, s) - coalesce(lag(s) OVER {_W}, s) AS dt FROM e)
+    SELECT event_id, CASE WHEN dt > 0 THEN round(sqrt(dv * dv + pow(dv * 0.5, 2)) / dt, 6) ELSE 0 END AS speed FROM w""",
+)
 def speed_rows(spark, d):
     e = _events(spark, d).withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     return e.select("event_id", F.round(ordered.speed("value", F.col("value") * 0.5, "s", _series()), 6).alias("speed"))
@@ -872,8 +921,9 @@ def speed_rows(spark, d):
 
 @query("windowed_counts", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")
 def windowed_counts(spark, d):
-    e = _events(spark, d)
-    return e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    e = _events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    w = feeds.windowed(e, "ts", "1 day", "1 day", None, ["event_type"], {"n": F.count("*")})
+    return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 
@@ -883,9 +933,9 @@ def lowess(spark, d):
     return signal.lowess_rows(p, ["k"], "x", "y").select("k", "x", "y", r4(F.col("fit"), "fit"))
 
 
-@query("midrank_by_group", "SELECT c_custkey, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) - 1 + (count(*) OVER (PARTITION BY c_mktsegment, c_nationkey) - 1) / 2.0 AS midrank FROM customer")
+@query("midrank_by_group", f"SELECT c_custkey, CASE WHEN n IS NOT NULL THEN rank() OVER (PARTITION BY s ORDER BY n NULLS LAST) - 1 + (count(*) OVER (PARTITION BY s, n) - 1) / 2.0 ELSE -1 END AS midrank FROM {_NULLS}")
 def midrank_by_group(spark, d):
-    return grouping.midrank(t(spark, d, "customer"), "c_nationkey", "c_mktsegment").select("c_custkey", "midrank")
+    return grouping.midrank(_customers(spark, d), "n", "s").select("c_custkey", F.coalesce("midrank", F.lit(-1.0)).alias("midrank"))
 
 
 @query(
@@ -896,14 +946,19 @@ def recode_from(spark, d):
     return grouping.recode_from(t(spark, d, "customer"), "c_nationkey", t(spark, d, "supplier"), "s_nationkey").select("c_custkey", "code")
 
 
-@query("histogram_by_group", "SELECT m AS c_mktsegment, b::INTEGER AS bin, count(c_custkey)::BIGINT AS count FROM (SELECT DISTINCT c_mktsegment AS m FROM customer) CROSS JOIN range(5) r(b) LEFT JOIN customer ON c_mktsegment = m AND c_acctbal >= 0 AND c_acctbal < 10000 AND floor(c_acctbal / 2000.0) = b GROUP BY ALL")
+@query("histogram_by_group", f"SELECT coalesce(m, '-') AS s, b::INTEGER AS bin, count(c_custkey)::BIGINT AS count FROM (SELECT DISTINCT s AS m FROM {_NULLS}) CROSS JOIN range(5) r(b) LEFT JOIN {_NULLS} c ON c.s IS NOT DISTINCT FROM m AND c_acctbal >= 0 AND c_acctbal < 10000 AND floor(c_acctbal / 2000.0) = b GROUP BY ALL")
 def histogram_by_group(spark, d):
-    return grouping.histogram(t(spark, d, "customer"), "c_acctbal", 0.0, 10000.0, 5, "c_mktsegment")
+    return grouping.histogram(_customers(spark, d), "c_acctbal", 0.0, 10000.0, 5, "s").withColumn("s", F.coalesce("s", F.lit("-")))
 
 
-@query("response_rate", "SELECT event_type, round(avg(value), 4) AS rate, round(coalesce(stddev_samp(value) / sqrt(count(value)), 0), 4) AS sem FROM events GROUP BY 1")
+@query(
+    "response_rate",
+    _L + """SELECT k % 7 AS g, round(avg(r), 4) AS rate, round(coalesce(stddev_samp(r) / sqrt(count(r)), 0), 4) AS sem
+    FROM (SELECT k, len(list_filter(q, lambda x: x >= 10 AND x < 30)) * 50.0 AS r FROM o) GROUP BY 1""",
+)
 def response_rate(spark, d):
-    return _events(spark, d).groupBy("event_type").agg(r4(F.avg("value"), "rate"), r4(stats.sem("value"), "sem"))
+    trials = _orders_lists(spark, d).withColumn("g", F.col("k") % 7)
+    return spikes.response(trials, "q", ["g"], 10, 30).select("g", r4(F.col("rate"), "rate"), r4(F.col("sem"), "sem"))
 
 
 @query("table_summary", "SELECT 'n_nationkey' AS name, count(n_nationkey)::BIGINT AS n FROM nation UNION ALL SELECT 'n_name', count(n_name)::BIGINT FROM nation UNION ALL SELECT 'n_regionkey', count(n_regionkey)::BIGINT FROM nation")

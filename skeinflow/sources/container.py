@@ -13,6 +13,7 @@ import zlib
 from collections.abc import Iterator
 from typing import Any, NamedTuple
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -288,9 +289,9 @@ def encode_rows(df: DataFrame, key: str, value: str, out: str = "payload") -> Da
     """Each row's list column as container bytes."""
     kind = df.schema[value].dataType
 
-    @F.udf("binary")
-    def run(v):
-        return bytearray(encode(Group("", {"list": _typed(v or [], kind.elementType)})))
+    @F.pandas_udf("binary")
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda v: encode(Group("", {"list": _typed([] if v is None else list(v), kind.elementType)})))
 
     return df.select(key, run(value).alias(out))
 
