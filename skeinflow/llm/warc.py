@@ -1,7 +1,7 @@
 """WARC derivatives: linked metadata and plain-text conversion records from response records.
 
-Records are WARC/1.1: plain bytes in columns, gzip members of their own in files.  A response's payload is taken out of its HTTP block; the
-metadata record holds the source's URI, date, HTTP status line, every HTTP header, digests, title and links, as warc-fields;
+Records are WARC/1.1, each a gzip member of its own, in columns as in files.  A response's payload is taken out of its HTTP block,
+put together from chunks and decompressed as its headers say; the metadata record holds the source's URI, date, HTTP status line, every HTTP header, digests, title and links, as warc-fields;
 the conversion record holds the text.  Both refer to the response by its record id and repeat its target URI, date and payload
 digest.  Identifiers are name-based UUIDs of what a record is made from, so reruns give the same ones.
 """
@@ -9,12 +9,12 @@ digest.  Identifiers are name-based UUIDs of what a record is made from, so reru
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import io
 import os
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from typing import NamedTuple
@@ -55,10 +55,53 @@ def _line(value: str) -> str:
     return re.sub(r"[\r\n]+", " ", value)
 
 
-def serialise(record: Record, compress: bool = True) -> bytes:
+#: Level of the gzip members in columns, which are read again at once, and in files.
+FAST, SMALL = 1, 6
+
+
+def gzipped(data: bytes, level: int) -> bytes:
+    """One gzip member without a time, so that equal data gives equal bytes."""
+    c = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return c.compress(data) + c.flush()
+
+
+def serialise(record: Record, compress: bool = True, level: int = FAST) -> bytes:
     head = "".join(f"{k}: {_line(v)}\r\n" for k, v in [*record.fields, ("Content-Length", str(len(record.block)))])
     data = b"WARC/1.1\r\n" + head.encode("utf-8", "surrogatepass") + b"\r\n" + record.block + b"\r\n\r\n"
-    return gzip.compress(data, 6, mtime=0) if compress else data
+    return gzipped(data, level) if compress else data
+
+
+class _Members(io.RawIOBase):
+    """The bytes of gzip members one after the other, decompressed as they are read."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.inner, self.held = memoryview(data), 0, zlib.decompressobj(31), b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        while not self.held:
+            if self.inner.eof:
+                rest = self.inner.unused_data
+                self.at -= len(rest)
+                if not bytes(self.data[self.at : self.at + 2]) == b"\x1f\x8b":
+                    return 0  # padding after the last member
+                self.inner = zlib.decompressobj(31)
+            tail = self.inner.unconsumed_tail
+            if tail:
+                self.held = self.inner.decompress(tail, 1 << 18)
+                continue
+            if self.at >= len(self.data):
+                if not self.inner.eof:
+                    raise ValueError("a gzip member cut short")
+                return 0
+            part = self.data[self.at : self.at + (1 << 16)]
+            self.at += len(part)
+            self.held = self.inner.decompress(part, 1 << 18)
+        n = min(len(buffer), len(self.held))
+        buffer[:n], self.held = self.held[:n], self.held[n:]
+        return n
 
 
 def _fields(lines: list[str]) -> list[tuple[str, str]]:
@@ -73,8 +116,8 @@ def _fields(lines: list[str]) -> list[tuple[str, str]]:
 
 
 def parse(data: bytes) -> Iterator[Record]:
-    """Every record of a WARC file's bytes, gzip members or plain."""
-    f = io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+    """Every record of a WARC file's bytes, gzip members or plain, one at a time: memory for the bytes and one record."""
+    f = io.BufferedReader(_Members(data), 1 << 16) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
     while line := f.readline():
         if not line.strip():
             continue
@@ -102,6 +145,61 @@ def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return status, _fields(rest), payload
 
 
+def _unchunked(data: bytes) -> bytes:
+    """A chunked body put together; what follows a broken size line is taken as it is."""
+    out, at = [], 0
+    while at < len(data):
+        end = data.find(b"\r\n", at)
+        size = re.match(rb"[ \t]*([0-9A-Fa-f]+)[ \t]*(?:;.*)?$", data[at:end]) if end >= 0 else None
+        if size is None:
+            out.append(data[at:])
+            break
+        n = int(size[1], 16)
+        if n == 0:
+            break
+        out.append(data[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+    return b"".join(out)
+
+
+def _inflated(data: bytes, wbits: int) -> bytes:
+    """Decompressed members; of a stream cut short, what is there."""
+    out = []
+    while data:
+        inner = zlib.decompressobj(wbits)
+        out.append(inner.decompress(data))
+        if not inner.eof:
+            out.append(inner.flush())
+            break
+        data = inner.unused_data if wbits == 31 and inner.unused_data[:2] == b"\x1f\x8b" else b""
+    return b"".join(out)
+
+
+def body(headers: list[tuple[str, str]], payload: bytes) -> tuple[bytes, str]:
+    """What the payload of an HTTP response stands for, and the name of a coding that can't be undone ("" if there is none).
+
+    Transfer codings come off first, then content codings, last named first.  Bytes that are not in the coding that their header
+    names (crawlers often store the body decoded, under the headers as sent) stay as they are.
+    """
+    codings = {name: [c.strip().lower() for k, v in headers if k.lower() == name for c in v.split(",") if c.strip()] for name in ("transfer-encoding", "content-encoding")}
+    if "chunked" in codings["transfer-encoding"] and re.match(rb"[ \t]*[0-9A-Fa-f]+[ \t]*(?:;[^\r\n]*)?\r\n", payload):
+        payload = _unchunked(payload)
+    for coding in [*reversed(codings["transfer-encoding"]), *reversed(codings["content-encoding"])]:
+        try:
+            if coding in ("gzip", "x-gzip"):
+                payload = _inflated(payload, 31) if payload[:2] == b"\x1f\x8b" else payload
+            elif coding == "deflate":
+                try:
+                    payload = _inflated(payload, 15)
+                except zlib.error:
+                    payload = _inflated(payload, -15)
+            elif coding not in ("chunked", "identity"):
+                return b"", coding
+        except zlib.error:
+            continue
+    return payload, ""
+
+
 class _Text(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -110,10 +208,12 @@ class _Text(HTMLParser):
         self.links: list[str] = []
         self.hidden = 0
         self.in_title = False
+        #: Text inside what is dropped: thrown away at its end, shown if that never comes.
+        self.aside: list[str] = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "body":
-            self.hidden = 0
+            self.hidden, self.aside = 0, []
         if tag in _DROPPED:
             self.hidden += 1
         elif tag == "title":
@@ -122,20 +222,25 @@ class _Text(HTMLParser):
             self.links += [v for k, v in attrs if k == "href" and v]
         if tag in _BLOCK:
             self.pieces.append("\n")
+            self.aside.append("\n")
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _DROPPED:
             self.hidden = max(0, self.hidden - 1)
+            self.aside = self.aside if self.hidden else []
         elif tag == "title":
             self.in_title = False
         if tag in _BLOCK:
             self.pieces.append("\n")
+            self.aside.append("\n")
 
     def handle_data(self, data: str) -> None:
         if self.in_title:
             self.title.append(data)
         elif not self.hidden:
             self.pieces.append(data)
+        elif self.lasttag not in ("script", "style"):
+            self.aside.append(data)
 
 
 def html_text(html: str) -> tuple[str, str, list[str]]:
@@ -143,6 +248,7 @@ def html_text(html: str) -> tuple[str, str, list[str]]:
     p = _Text()
     p.feed(html)
     p.close()
+    p.pieces += p.aside
     lines = (" ".join(x.split()) for x in "".join(p.pieces).split("\n"))
     return "\n".join(x for x in lines if x), " ".join("".join(p.title).split()), p.links
 
@@ -158,22 +264,27 @@ def page_response(page_id: object, url: str | None, html: str | None, date: str
 
 
 def derive(source: Record) -> tuple[Record, Record]:
-    """The metadata and the conversion record of a response."""
+    """The metadata and the conversion record of a response.
+
+    A body in a coding that can't be undone here has an empty conversion, and its metadata name the coding.
+    """
     status, headers, payload = http_parts(source.block)
+    content, unknown = body(headers, payload)
     ident = source.get("WARC-Record-ID") or record_id("unnamed", digest(source.block))
     of_payload = source.get("WARC-Payload-Digest") or digest(payload)
     kind = next((v for k, v in headers if k.lower() == "content-type"), "")
     charset = re.search(r"charset=\"?([\w.:-]+)", kind, re.I)
     try:
-        html = payload.decode(charset[1] if charset else "utf-8", "replace")
+        html = content.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
-        html = payload.decode("utf-8", "replace")
+        html = content.decode("utf-8", "replace")
     text, title, links = html_text(html)
     shared = [(k, v) for k in ("WARC-Target-URI", "WARC-Date") if (v := source.get(k))]
     shared += [("WARC-Refers-To", ident), *((f"WARC-Refers-To-{k[5:]}", v) for k, v in shared)]
     notes = [("source-record-id", ident), ("source-block-digest", source.get("WARC-Block-Digest") or digest(source.block)), ("source-payload-digest", of_payload), ("source-payload-length", str(len(payload)))]
     notes += [(f"source-{k.lower()}", v) for k, v in source.fields if k not in ("WARC-Record-ID", "WARC-Block-Digest", "WARC-Payload-Digest")]
     notes += [("http-status", status), *((f"http-header-{k.lower()}", v) for k, v in headers), ("title", title), *(("outlink", x) for x in links)]
+    notes += [("undecoded-content-encoding", unknown)] if unknown else []
     note_block = "".join(f"{k}: {_line(v)}\r\n" for k, v in notes).encode("utf-8", "surrogatepass")
     text_block = text.encode("utf-8", "replace")
 
@@ -186,45 +297,63 @@ def derive(source: Record) -> tuple[Record, Record]:
 
 
 def page_responses(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html) -> page_id, warc: a response record for each page; null html is an empty payload."""
+    """(page_id, url, html) -> page_id, warc: a response record for each page, whatever the type of its id.
+
+    Null html is an empty payload, a null url leaves the target URI out; repeated rows give equal records; very long pages are worked on
+    whole; an empty table gives no rows; other columns, whatever their names, are not looked at.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, max(1, whole.num_rows), 256):
                 batch = whole.slice(lo, 256)
                 rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array([serialise(page_response(*r), compress=False) for r in rows], pa.binary())], ["page_id", "warc"])
+                yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array([serialise(page_response(*r)) for r in rows], pa.binary())], ["page_id", "warc"])
 
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return rows.mapInArrow(run, "page_id long, warc binary")
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    return rows.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, warc binary")
 
 
 def derivatives(responses: DataFrame) -> DataFrame:
-    """(page_id, warc) -> page_id, metadata, conversion; what isn't a response gives no row."""
+    """(page_id, warc) -> page_id, metadata, conversion for each response in ``warc``; what isn't a response gives no row.
+
+    Null or empty bytes give none either; repeated rows give equal records; records are derived one at a time, whole; an empty table
+    gives no rows; other columns, whatever their names, are not looked at.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, max(1, whole.num_rows), 256):
                 batch = whole.slice(lo, 256)
+                at: list[int] = []
                 out: list[tuple] = []
-                for page, data in zip(batch.column("page_id").to_pylist(), batch.column("warc").to_pylist(), strict=True):
-                    out += [(page, *(serialise(d, compress=False) for d in derive(r))) for r in parse(data or b"") if r.get("WARC-Type") == "response"]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["page_id", "metadata", "conversion"])
+                for i, data in enumerate(batch.column("warc").to_pylist()):
+                    for r in parse(data or b""):
+                        if r.get("WARC-Type") == "response":
+                            at.append(i)
+                            out.append(tuple(serialise(d) for d in derive(r)))
+                made = [pa.array([r[k] for r in out], pa.binary()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([batch.column("page_id").take(pa.array(at, pa.int64())), *made], ["page_id", "metadata", "conversion"])
 
-    return responses.select("page_id", "warc").mapInArrow(run, "page_id long, metadata binary, conversion binary")
+    kind = responses.schema["page_id"].dataType.simpleString()
+    return responses.select("page_id", "warc").mapInArrow(run, f"page_id {kind}, metadata binary, conversion binary")
 
 
 _SUMMARY = {
-    "page_id": "long", "metadata_id": "string", "conversion_id": "string", "refers_to": "string", "conversion_refers_to": "string", "target_uri": "string", "warc_date": "string",
+    "metadata_id": "string", "conversion_id": "string", "refers_to": "string", "conversion_refers_to": "string", "target_uri": "string", "warc_date": "string",
     "http_status": "string", "source_content_type": "string", "source_payload_digest": "string", "payload_length": "long", "n_outlinks": "long", "title": "string",
     "conversion_digest": "string", "text_sha256": "string", "text_chars": "long",
 }
 
 
 def summaries(records: DataFrame) -> DataFrame:
-    """What the derived records say, read back from their bytes, digests checked."""
+    """What the derived records (page_id, metadata, conversion) say, read back from their bytes, digests checked.
+
+    Records must not be null, as ``derivatives`` makes none such; a block that differs from its digest is an error; repeated rows
+    give equal rows; an empty table gives no rows; other columns, whatever their names, are not looked at.
+    """
 
-    def one(page: int, metadata: bytes, conversion: bytes) -> tuple:
+    def one(page: object, metadata: bytes, conversion: bytes) -> tuple:
         (m,), (c,) = parse(metadata), parse(conversion)
         for r in (m, c):
             if r.get("WARC-Block-Digest") != digest(r.block):
@@ -232,7 +361,7 @@ def summaries(records: DataFrame) -> DataFrame:
         notes = Record(_fields(m.block.decode("utf-8", "replace").split("\r\n")), b"")
         text = c.block.decode()
         return (
-            page, m.get("WARC-Record-ID"), c.get("WARC-Record-ID"), m.get("WARC-Refers-To"), c.get("WARC-Refers-To"), c.get("WARC-Target-URI"), c.get("WARC-Date"),
+            m.get("WARC-Record-ID"), c.get("WARC-Record-ID"), m.get("WARC-Refers-To"), c.get("WARC-Refers-To"), c.get("WARC-Target-URI"), c.get("WARC-Date"),
             notes.get("http-status"), notes.get("http-header-content-type"), c.get("WARC-Source-Payload-Digest"), int(notes.get("source-payload-length") or 0),
             sum(k == "outlink" for k, _ in notes.fields), notes.get("title"), c.get("WARC-Block-Digest"), hashlib.sha256(c.block).hexdigest(), len(text),
         )
@@ -243,9 +372,10 @@ def summaries(records: DataFrame) -> DataFrame:
                 batch = whole.slice(lo, 256)
                 out = [one(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("page_id", "metadata", "conversion")), strict=True)]
                 kinds = [pa.int64() if t == "long" else pa.string() for t in _SUMMARY.values()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], list(_SUMMARY))
+                yield pa.RecordBatch.from_arrays([batch.column("page_id"), *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], ["page_id", *_SUMMARY])
 
-    return records.select("page_id", "metadata", "conversion").mapInArrow(run, ", ".join(f"{k} {v}" for k, v in _SUMMARY.items()))
+    kind = records.schema["page_id"].dataType.simpleString()
+    return records.select("page_id", "metadata", "conversion").mapInArrow(run, ", ".join([f"page_id {kind}", *(f"{k} {v}" for k, v in _SUMMARY.items())]))
 
 
 def page_derivatives(pages: DataFrame) -> DataFrame:
@@ -258,30 +388,50 @@ def page_derivatives(pages: DataFrame) -> DataFrame:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files under ``path`` (any store Spark reads): file, type, record_id, target_uri, warc."""
+    """Records of the WARC files under ``path`` (any store Spark reads): file, type, record_id, target_uri, warc.
+
+    A file comes to one worker as its bytes (less than 2 GB, as the source has it) and is decompressed record by record, so memory is
+    for these bytes and some records.  Empty files give no rows; files and records that are cut short are errors.
+    """
+    names = ["file", "type", "record_id", "target_uri", "warc"]
+    kinds = [pa.string()] * 4 + [pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                held = [(name, r.get("WARC-Type"), r.get("WARC-Record-ID"), r.get("WARC-Target-URI"), serialise(r, compress=False)) for r in parse(data)]
-                for lo in range(0, len(held), 256):
-                    kinds = [pa.string()] * 4 + [pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in held[lo : lo + 256]], t) for k, t in enumerate(kinds)], ["file", "type", "record_id", "target_uri", "warc"])
+        for whole in batches:
+            for i in range(whole.num_rows):
+                name, data = whole.column("path")[i].as_py(), whole.column("content")[i].as_py()
+                held: list[tuple] = []
+                size = 0
+                for r in parse(data):
+                    held.append((name, r.get("WARC-Type"), r.get("WARC-Record-ID"), r.get("WARC-Target-URI"), serialise(r)))
+                    size += len(held[-1][-1])
+                    if len(held) == 256 or size > 1 << 24:
+                        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in held], t) for k, t in enumerate(kinds)], names)
+                        held, size = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in held], t) for k, t in enumerate(kinds)], names)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(run, "file string, type string, record_id string, target_uri string, warc binary")
 
 
 def write_warc(records: DataFrame, folder: str, column: str = "warc") -> list[str]:
-    """Write each partition's records, as gzip members, to a file of its own in a folder that all executors mount; gives the names."""
+    """Write each partition's records, as gzip members, to a file of its own in a folder that all executors mount; gives the names.
+
+    Files appear whole, by their renaming; a partition without records makes none; a null record is an error; other columns are not
+    looked at.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.makedirs(folder, exist_ok=True)
-        name = f"part-{uuid.uuid4().hex}.warc.gz"
+        name, written = f"part-{uuid.uuid4().hex}.warc.gz", 0
         with open(os.path.join(folder, f".{name}"), "wb") as f:
             for batch in batches:
                 for data in batch.column("warc").to_pylist():
-                    f.write(data if data[:2] == b"\x1f\x8b" else gzip.compress(data, 6, mtime=0))
+                    plain = io.BufferedReader(_Members(data)).read() if data[:2] == b"\x1f\x8b" else data
+                    written += f.write(gzipped(plain, SMALL))
+        if not written:
+            os.remove(os.path.join(folder, f".{name}"))
+            return
         os.replace(os.path.join(folder, f".{name}"), os.path.join(folder, name))
         yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
 

@@ -1,11 +1,17 @@
 """The operators against brute force, exact round trips and edge cases, on small fixtures."""
 
 import base64
+import email.parser
+import email.policy
+import gzip
 import hashlib
 import random
 import re
+import uuid
+import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
@@ -380,9 +386,72 @@ def test_warc(spark, tmp_path):
     warc.write_warc(warc.page_responses(pages), out)
     back = warc.read_warc(spark, out)
     assert back.count() == len(rows) and {x.type for x in back.collect()} == {"response"}
-    with pytest.raises(ValueError):
-        list(warc.parse(warc.serialise(source, compress=False)[:-200]))
+    for cut in (warc.serialise(source, compress=False)[:-200], warc.serialise(source)[:-9]):
+        with pytest.raises(ValueError):
+            list(warc.parse(cut))
+    assert list(warc.parse(warc.serialise(source) + b"\0" * 512)) == [source]
     assert warc.page_derivatives(pages.where("false")).count() == 0
+    text_ids = pages.withColumn("page_id", F.concat(F.lit("p"), F.col("page_id").cast("string")))
+    assert {x.page_id for x in warc.page_derivatives(text_ids).collect()} == {None, "p1", "p2", "p3", "p4", "p5"}
+
+
+def stdlib_record(data):
+    """Headers and block of one gzip member by the standard library's readers."""
+    head, _, rest = gzip.decompress(data).partition(b"\r\n\r\n")
+    version, _, lines = head.partition(b"\r\n")
+    fields = email.parser.BytesParser(policy=email.policy.compat32).parsebytes(lines + b"\r\n\r\n")
+    n = int(fields["Content-Length"])
+    assert version == b"WARC/1.1" and rest[n:] == b"\r\n\r\n"
+    return fields, rest[:n]
+
+
+def test_warc_by_another_reader(spark):
+    """The records of the derivatives as the standard library reads them, and ids and digests as DuckDB and uuid5 make them."""
+    html = "<title>A</title><p>été <a href='/1'>x</a><a href='/2'>y</a>"
+    pages = spark.createDataFrame([(i, f"http://h/{i}", html + str(i)) for i in range(5)], "page_id long, url string, html string")
+    responses = warc.page_responses(pages)
+    for r in warc.derivatives(responses).join(responses, "page_id").collect():
+        source, block = stdlib_record(bytes(r.warc))
+        payload = block.split(b"\r\n\r\n", 1)[1]
+        assert payload == (html + str(r.page_id)).encode()
+        sha = lambda x: "sha1:" + base64.b32encode(bytes.fromhex(duckdb.execute("SELECT sha1(?)", [x]).fetchone()[0])).decode()
+        assert source["WARC-Payload-Digest"] == sha(payload) and source["WARC-Block-Digest"] == sha(block)
+        name = "\0".join(["response", str(r.page_id), f"http://h/{r.page_id}", sha(payload)])
+        assert source["WARC-Record-ID"] == f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
+        for data, kind in ((r.metadata, "metadata"), (r.conversion, "conversion")):
+            fields, block = stdlib_record(bytes(data))
+            assert fields["WARC-Type"] == kind and fields["WARC-Block-Digest"] == sha(block)
+            assert fields["WARC-Refers-To"] == source["WARC-Record-ID"] and fields["WARC-Refers-To-Target-URI"] == source["WARC-Target-URI"] == f"http://h/{r.page_id}"
+            assert fields["WARC-Refers-To-Date"] == source["WARC-Date"] and fields["WARC-Source-Payload-Digest"] == source["WARC-Payload-Digest"]
+            if kind == "conversion":
+                assert block.decode() == f"été xy{r.page_id}"
+            else:
+                notes = email.parser.BytesParser().parsebytes(block)
+                assert notes["title"] == "A" and notes.get_all("outlink") == ["/1", "/2"] and notes["http-header-content-type"] == "text/html; charset=utf-8"
+                assert int(notes["source-payload-length"]) == len(payload) and notes["source-block-digest"] == source["WARC-Block-Digest"]
+
+
+def test_bodies_of_crawls():
+    html = "<p>hello" + " wörld" * 50
+    raw = html.encode()
+    squeezed = zlib.compressobj(6, zlib.DEFLATED, -15)
+    chunks = lambda x: b"".join(b"%x;e=1\r\n%s\r\n" % (len(x[i : i + 7]), x[i : i + 7]) for i in range(0, len(x), 7)) + b"0\r\nTrailer: t\r\n\r\n"
+    cases = [
+        ("", raw), ("Content-Encoding: gzip", gzip.compress(raw)), ("Content-Encoding: gzip", gzip.compress(raw[:40]) + gzip.compress(raw[40:])), ("Content-Encoding: deflate", zlib.compress(raw)),
+        ("Content-Encoding: deflate", squeezed.compress(raw) + squeezed.flush()), ("Transfer-Encoding: chunked", chunks(raw)), ("Transfer-Encoding: chunked\r\nContent-Encoding: x-gzip", chunks(gzip.compress(raw))),
+        ("Content-Encoding: gzip", raw), ("Transfer-Encoding: chunked", raw), ("Content-Encoding: deflate, gzip", gzip.compress(zlib.compress(raw))), ("Content-Encoding: identity", raw),
+    ]
+    for head, payload in cases:
+        block = b"HTTP/1.1 200 OK\r\n" + (head + "\r\n").lstrip().encode() + b"Content-Type: text/html\r\n\r\n" + payload
+        metadata, conversion = warc.derive(warc.Record([("WARC-Type", "response"), ("WARC-Record-ID", "<a>")], block))
+        assert conversion.block.decode() == "hello" + " wörld" * 50, head
+        assert warc.digest(payload) in metadata.block.decode()
+    cut = b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\n" + gzip.compress(raw)[:-12]
+    assert warc.derive(warc.Record([], cut))[1].block.startswith(b"hello")
+    brotli = warc.derive(warc.Record([], b"HTTP/1.1 200 OK\r\nContent-Encoding: br\r\n\r\n\x8b\x00"))
+    assert brotli[1].block == b"" and b"undecoded-content-encoding: br" in brotli[0].block
+    for page, text in (("<p>a<template><p>b", "a\nb"), ("<p>a<template><p>b</template>c", "a\nc"), ("<noscript>x<p>y", "x\ny"), ("<head><meta><p>z", "z"), ("<head><style>p{}</style><body>q", "q"), ("<p>a<script>var b", "a")):
+        assert warc.html_text(page)[0] == text, page
 
 
 # --- op7
