@@ -2,8 +2,9 @@
 
 Tokens are runs of letters, of digits or of punctuation, hashed to 2**BITS places.  Each place has a fixed sparse random
 index vector (one +1 and one -1), and its word vector is the sum of the index vectors of the neighbours, up to two tokens
-away, of all its occurrences in all documents, brought to unit length.  Tasks add vectors up in numpy; the partial tables, a
-fixed 2 MB each, are summed in two rounds, in streams.  The result is broadcast (2 MB whatever the corpus).
+away, of all its occurrences in all documents, brought to unit length.  Tasks add vectors up in numpy and pass on the places that
+they have seen; these are summed in two rounds, in streams, in whole numbers, so reruns agree to the bit.  The result is broadcast
+(32 MB at most, whatever the corpus).
 
 A document is the mean and the mean square of its tokens' vectors.  The network learns in numpy on the driver, from the
 pooled vectors of a bounded sample of labelled documents; a temperature, fitted on a part of the sample that it has not
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from skeinflow.llm import kernels as K
 from skeinflow.llm.common import labelled_sample, remainder
 
-BITS, DIM, REACH = 14, 32, 2
+BITS, DIM, REACH = 18, 32, 2
 #: Labelled documents to learn from at most; one in HELD of them fits the temperature.
 TRAIN_ROWS, HELD = 12_000, 5
 HIDDEN, EPOCHS, RATE, DECAY = 24, 60, 5e-3, 1e-4
@@ -56,50 +57,49 @@ def tokens(t: K.Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    size = DIM << BITS
-    total = np.zeros(size, dtype=np.float32)
-    any_rows = False
+    total = np.zeros(DIM << BITS, dtype=np.int32)
     for batch in batches:
         for t in K.texts(batch.column("text")):
-            any_rows = True
             b, first = tokens(t)
             rows = np.repeat(np.arange(len(first) - 1), np.diff(first))
             for reach in range(1, REACH + 1):
                 same = rows[reach:] == rows[:-reach]
                 x, y = b[:-reach][same], b[reach:][same]
                 for to, of in ((x * DIM, y), (y * DIM, x)):
-                    total += np.bincount(to + _PLUS[of], minlength=size).astype(np.float32)
-                    total -= np.bincount(to + _MINUS[of], minlength=size).astype(np.float32)
-    if any_rows:
-        yield _slices(dict(enumerate(total.reshape(SLICES, -1))))
+                    np.add.at(total, to + _PLUS[of], 1)
+                    np.subtract.at(total, to + _MINUS[of], 1)
+    yield _slices(dict(enumerate(total.reshape(SLICES, -1, DIM))))
 
 
 def _slices(held: dict[int, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["slice", "part"])
+    """The places of each slice that hold anything, and their sums."""
+    some = {i: np.flatnonzero(v.any(axis=1)).astype(np.int32) for i, v in held.items()}
+    some = {i: at for i, at in some.items() if len(at)}
+    columns = [pa.array(list(some), pa.int32()), pa.array([at.tobytes() for at in some.values()], pa.binary()), pa.array([held[i][at].astype(np.int64).tobytes() for i, at in some.items()], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["slice", "places", "sums"])
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
     for batch in batches:
-        for i, part in zip(batch.column("slice").to_pylist(), batch.column("part"), strict=True):
-            v = np.frombuffer(part.as_buffer(), dtype=np.float32)
-            held[i] = held[i] + v if i in held else v.copy()
-    if held:
-        yield _slices(held)
+        for i, places, sums in zip(batch.column("slice").to_pylist(), batch.column("places"), batch.column("sums"), strict=True):
+            at = np.frombuffer(places.as_buffer(), dtype=np.int32)
+            held.setdefault(i, np.zeros(((1 << BITS) // SLICES, DIM), dtype=np.int64))[at] += np.frombuffer(sums.as_buffer(), dtype=np.int64).reshape(-1, DIM)
+    yield _slices(held)
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit word vector of every place, zero where nothing was seen, from all ``docs``."""
-    schema = "slice int, part binary"
+    schema = "slice int, places binary, sums binary"
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_gather, schema)
-    some = rows.withColumn("salt", F.spark_partition_id() % SALTS).repartition(SLICES * SALTS, "slice", "salt").select("slice", "part").mapInArrow(_sum, schema)
+    some = rows.withColumn("salt", F.spark_partition_id() % SALTS).repartition(SLICES * SALTS, "slice", "salt").drop("salt").mapInArrow(_sum, schema)
     found = some.repartition(SLICES, "slice").mapInArrow(_sum, schema).collect()
-    table = np.zeros((SLICES, (DIM << BITS) // SLICES), dtype=np.float32)
+    table = np.zeros((SLICES, (1 << BITS) // SLICES, DIM), dtype=np.float32)
     for r in found:
-        table[r["slice"]] = np.frombuffer(bytes(r["part"]), dtype=np.float32)
-    table = table.reshape(1 << BITS, DIM)
-    length = np.linalg.norm(table, axis=1, keepdims=True)
-    return table / np.where(length > 0, length, 1)
+        sums = np.frombuffer(bytes(r["sums"]), dtype=np.int64).reshape(-1, DIM).astype(np.float64)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        table[r["slice"], np.frombuffer(bytes(r["places"]), dtype=np.int32)] = sums / np.where(length > 0, length, 1)
+    return table.reshape(1 << BITS, DIM)
 
 
 def pooled(column: pa.Array, table: np.ndarray) -> np.ndarray:
@@ -207,7 +207,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Learns from labels of ids whose crc32 modulo 3 is not 1; lang, source and doc_id are no inputs of a score.  Null and
     empty texts pool to zeros and score as such; a null doc_id isn't held out, as its remainder counts as 0, nor learnt
     from; labels other than 0 and 1 are passed over; without labels of both kinds all scores are their smoothed share (0.5
-    without any); repeated rows score alike.
+    without any); repeated rows and ties score alike; very long texts are worked on whole, in memory of some 100 times the longest;
+    an empty table gives no rows; other columns, whatever their names, are not looked at.
     """
     context = docs.sparkSession.sparkContext
     apart = remainder(F.col("doc_id"), 3)
