@@ -152,7 +152,8 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, with_i
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (of the bytes that the ids decode to) and, if asked for, ids.
 
     ``vocabulary_path`` is read on the driver and broadcast (about 1 MB, as large as the vocabulary).  A null text is empty
-    and has no ids; every row gives one row, repeated ones too; other columns are not looked at.
+    and has no ids; every row gives one row, repeated ones too, whatever the type of its id; very long texts are encoded whole; merges
+    tied in rank don't occur, as ranks differ; an empty table gives no rows; other columns, whatever their names, are not looked at.
     """
     with open(vocabulary_path, "rb") as f:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -163,7 +164,8 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, with_i
 
 
 def decode_documents(coded: DataFrame, vocabulary_path: str, pattern: str) -> DataFrame:
-    """doc_id and the decoded text of each row's ``ids`` (null ids: empty; bytes that are not UTF-8 become U+FFFD)."""
+    """doc_id and the decoded text of each row's ``ids`` (null ids: empty; bytes that are not UTF-8 become U+FFFD); an empty table gives
+    no rows, and other columns, whatever their names, are not looked at."""
     with open(vocabulary_path, "rb") as f:
         vocabulary = coded.sparkSession.sparkContext.broadcast(f.read())
 

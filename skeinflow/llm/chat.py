@@ -21,6 +21,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Characters of a rendered part; a part ends with the turn that reaches this.
 PART_CHARS = 1 << 16
@@ -416,7 +417,7 @@ def _conversations(rows: Iterator[tuple[Any, str, str]]) -> Iterator[tuple[Any,
             pass
 
 
-def _render(template: str):
+def _render(template: str, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emit = compile_template(template)
         out: list[tuple] = []
@@ -440,10 +441,10 @@ def _render(template: str):
                 size += len(piece)
                 held += len(piece)
                 if held > 4 * PART_CHARS and out:
-                    yield _parts_batch(out)
+                    yield _parts_batch(out, kind)
                     out, held = [], 0
             out.append((conv, part, "".join(text), spans, True))
-        yield _parts_batch(out)
+        yield _parts_batch(out, kind)
 
     return run
 
@@ -451,8 +452,8 @@ def _render(template: str):
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _parts_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.string(), _SPANS, pa.bool_())
+def _parts_batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    kinds = (kind, pa.int32(), pa.string(), _SPANS, pa.bool_())
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["conv_id", "part", "formatted", "spans", "last"])
 
 
@@ -461,17 +462,20 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE) -> DataFram
 
     ``spans`` are the stretches of ``formatted`` (code points) inside generation markers.  A long conversation has several
     parts, in order and in one partition.  Turns go by turn, nulls first, ties by role and text; null roles and texts are
-    empty; turns of a null conv_id are one conversation; other columns are not looked at; no rows give no rows.
+    empty; a conv_id may be of any type, and turns of a null one are one conversation; repeated rows are turns of their own; very
+    long texts are rendered whole, in memory for one turn and one part; other columns, whatever their names, are not looked at; no
+    rows give no rows.
     """
-    rows = turns.select(F.col("conv_id").cast("long"), "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    rows = turns.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    schema = "conv_id long, part int, formatted string, spans array<struct<start: long, end: long>>, last boolean"
-    return rows.mapInArrow(_render(template), schema)
+    id_type = turns.schema["conv_id"].dataType
+    schema = f"conv_id {id_type.simpleString()}, part int, formatted string, spans array<struct<start: long, end: long>>, last boolean"
+    return rows.mapInArrow(_render(template, to_arrow_type(id_type)), schema)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+    others = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
     n = loss_chars = chars = 0
     turns, loss, rest, fresh = hashlib.sha256(), hashlib.sha256(), "", True
     for batch in batches:
@@ -499,12 +503,16 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     raise ValueError(f"conversation {conv} can't be read back")
                 out.append((conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
                 fresh = True
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((batch.schema.field("conv_id").type, *others))], names)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """What op1 returns, from parts rendered by TEMPLATE: digests of the turns and of the unescaped text under the mask."""
-    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    """What op1 returns, from parts rendered by TEMPLATE: digests of the turns and of the unescaped text under the mask.
+
+    The parts of a conversation must be in order and in one partition, as ``format_conversations`` gives them, and not null; what the
+    template can't have rendered is an error; no rows give no rows; other columns, whatever their names, are not looked at.
+    """
+    schema = f"conv_id {formatted.schema['conv_id'].dataType.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return formatted.select("conv_id", "formatted", "spans", "last").mapInArrow(_digests, schema)
 
 

@@ -78,11 +78,11 @@ def _hash_part(c: Column, at: int) -> Column:
 
 def _parts(docs: DataFrame) -> DataFrame:
     """docs with a row number of its own parts: idx of the source, shard, place, quota and the run taken."""
-    shards = min(max(-(-docs.count() // SHARD_ROWS), 1), MOST_SHARDS)
     sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long")))
     sized = sized.withColumn("key", F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     sized = sized.withColumn("tie", F.xxhash64("text")).drop("text")
     sized = stage(sized, "sized")
+    shards = min(max(-(-sized.count() // SHARD_ROWS), 1), MOST_SHARDS)
     goals = stage(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "goals")
 
     least = F.min(F.when(F.col("source_size") > 0, F.col("source_size"))) / BLOCKS
@@ -136,16 +136,21 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a document taken whole comes once for each pass, text unchanged; one
-    taken in part comes with these words, joined by one space (and n_chars, where there is such a column, of them)."""
+    taken in part comes with these words, joined by one space (and n_chars, where there is such a column, of them).
+
+    Null texts and texts without words are never taken.  Ids may be of any type, null or repeated: rows that agree in id, text and
+    source are interchangeable and each has its own part in the plan.  Very long texts are cut whole.  An empty table gives no
+    rows; extra columns of any names come through unchanged.
+    """
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     plan = _parts(held.select("doc_id", "source", "text")).where("taken > 0")
-    plan = plan.select("doc_id", "size", "tie", "passes", "size", "lo1", "hi1", "lo2", "hi2").toDF("_id", "_size", "_tie", "passes", "size", "lo1", "hi1", "lo2", "hi2")
-    # Rows that agree in id, size and text are interchangeable: number them on both sides.
-    same = Window.partitionBy("_id", "_tie").orderBy("passes", "lo1", "hi1", "lo2", "hi2")
+    plan = plan.select("doc_id", "source", "tie", "passes", "size", "lo1", "hi1", "lo2", "hi2").toDF("_id", "_source", "_tie", "passes", "size", "lo1", "hi1", "lo2", "hi2")
+    # Rows that agree in id, source and text are interchangeable: number them on both sides.
+    same = Window.partitionBy("_id", "_source", "_tie").orderBy("passes", "lo1", "hi1", "lo2", "hi2")
     plan = plan.withColumn("_nth", F.row_number().over(same))
     here = held.withColumn("_tie2", F.xxhash64("text"))
-    here = here.withColumn("_nth2", F.row_number().over(Window.partitionBy("doc_id", "_tie2").orderBy("source")))
-    got = here.join(plan, here["doc_id"].eqNullSafe(plan["_id"]) & (here["_tie2"] == plan["_tie"]) & (here["_nth2"] == plan["_nth"]))
+    here = here.withColumn("_nth2", F.row_number().over(Window.partitionBy("doc_id", "source", "_tie2").orderBy("source")))
+    got = here.join(plan, here["doc_id"].eqNullSafe(plan["_id"]) & here["source"].eqNullSafe(plan["_source"]) & (here["_tie2"] == plan["_tie"]) & (here["_nth2"] == plan["_nth"]))
     whole = F.transform(F.sequence(F.lit(1), F.col("passes").cast("int")), lambda _: F.struct(F.lit(0).cast("long").alias("lo"), F.col("size").alias("hi")))
     whole = F.when(F.col("passes") > 0, whole).otherwise(F.array().cast("array<struct<lo:bigint,hi:bigint>>"))
     parts = F.array(F.struct(F.col("lo1").alias("lo"), F.col("hi1").alias("hi")), F.struct(F.col("lo2").alias("lo"), F.col("hi2").alias("hi")))
