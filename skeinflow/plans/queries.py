@@ -753,9 +753,9 @@ def _trains(spark, d):
 
 @query(
     "spike_density",
-    """WITH t AS (SELECT user_id % 50 AS k, trunc((epoch_us(ts) / 1000.0) % 1000)::BIGINT AS at, count(*) AS c FROM events GROUP BY ALL),
+    """WITH t AS (SELECT user_id % 50 AS k, trunc((epoch_us(ts) / 1000.0) % 1000)::BIGINT AS t0, count(*) AS c FROM events GROUP BY ALL),
     kern AS (SELECT j, exp(-j * j / 100.0) / (2 * (SELECT sum(exp(-x * x / 100.0)) FROM range(31) r(x))) AS w FROM range(-30, 31) r(j)),
-    v AS (SELECT k, at + j AS i, sum(c * w) AS v FROM t, kern GROUP BY ALL)
+    v AS (SELECT k, t0 + j AS i, sum(c * w) AS v FROM t, kern GROUP BY ALL)
     SELECT g.k, g.i::INTEGER AS i, round(coalesce(v, 0), 4) AS v FROM (SELECT DISTINCT k, i FROM t, range(1000) r(i)) g LEFT JOIN v ON v.k = g.k AND v.i = g.i""",
 )
 def spike_density(spark, d):

@@ -122,10 +122,10 @@ def matrix_dump(spark, d):
     return frame.matrix_rows(_square(spark, d).withColumnRenamed("vec_id", frame.RID), "m").withColumnRenamed(frame.RID, "pos")
 
 
-@query("formatted_columns", "SELECT printf('%05d', s_suppkey) AS s_suppkey, printf('%.1f', s_acctbal) AS s_acctbal, s_name FROM supplier")
+@query("formatted_columns", "SELECT printf('%05d', s_suppkey) AS s_suppkey, printf('%.2f', s_acctbal) AS s_acctbal, s_name FROM supplier")
 def formatted_columns(spark, d):
     s = t(spark, d, "supplier").select(F.col("s_suppkey").cast("int").alias("s_suppkey"), "s_acctbal", "s_name")
-    return frame.formatted(s, {"int": "%05d", "s_acctbal": "%.1f"})
+    return frame.formatted(s, {"int": "%05d", "s_acctbal": "%.2f"})
 
 
 # --- formats, written and read again
@@ -469,7 +469,7 @@ def unit_depths(spark, d):
 @query("roc_points", "WITH v AS (SELECT DISTINCT l_quantity AS threshold FROM lineitem) SELECT threshold, round(avg((l_quantity > threshold)::INTEGER) FILTER (l_returnflag <> 'R'), 4) AS fa, round(avg((l_quantity > threshold)::INTEGER) FILTER (l_returnflag = 'R'), 4) AS hr FROM lineitem, v GROUP BY 1")
 def roc_points(spark, d):
     li = t(spark, d, "lineitem").select(F.lit(1).alias("k"), "l_quantity", (F.col("l_returnflag") == "R").cast("int").alias("pos"))
-    return tuning.roc(li, ["k"], "l_quantity", "pos").select("threshold", r4(F.col("fa"), "fa"), r4(F.col("hr"), "hr"))
+    return tuning.roc(li, ["k"], "l_quantity", "pos").where("threshold IS NOT NULL").select("threshold", r4(F.col("fa"), "fa"), r4(F.col("hr"), "hr"))
 
 
 def _boxes(spark, d, how):
