@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinflow.stages import drop_settled, settled, shared_dir
+from skeinflow.stages import drop, drop_settled, made, settled, shared_dir
 
-__all__ = ["drop_stage", "labelled_sample", "remainder", "shared_dir", "stage", "table"]
+__all__ = ["drop_stage", "labelled_sample", "remainder", "shared_dir", "stage", "stage_alone", "table"]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -20,6 +22,15 @@ def drop_stage(*tables: DataFrame) -> None:
     drop_settled(*tables)
 
 
+def stage_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The stage table of what ``make`` gives, and none of the tables that it made on the way."""
+    before = set(made)
+    out = stage(make(), name)
+    mine = made[-1]
+    drop(out.sparkSession, *(p for p in list(made) if p not in before and p != mine))
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as stored; one of fewer partitions than there are cores is dealt out, as Python would use one core of them."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
