@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skeinflow.llm import mixing, substring_dedup
 from skeinflow.llm.bpe import encode_documents
-from skeinflow.llm.common import stage, table
+from skeinflow.llm.common import drop_stage, stage, stage_alone, table
 from skeinflow.llm.minhash_dedup import near_duplicates
 from skeinflow.llm.quality_rules import quality_filter
 
@@ -23,14 +23,16 @@ PERCENT = 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.  Null and empty texts go; ids of any type, null or repeated, are not looked at; an empty
+    table gives no rows; all columns come through unchanged."""
     return quality_filter(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies, one with the smallest id (null after all others); ids need not be unique.
+    """One row of each group of near copies, one with the smallest id (null after all others); ids need not be unique, nor numbers.
 
-    Groups are found on a key of each row, written once so that every use sees the same keys.
+    Null and empty texts are no copies of anything and stay; ties in id go to the row read first; an empty table gives no rows;
+    all columns come through unchanged.  Groups are found on a key of each row, written once so that every use sees the same keys.
     """
     key = F.monotonically_increasing_id()
     rows = stage(docs.select(key.alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), "keyed")
@@ -42,17 +44,18 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that occur elsewhere too."""
+    """Texts without the passages that occur elsewhere too (cases as in ``substring_dedup.strip_repeats``)."""
     return substring_dedup.strip_repeats(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents as often, and with as many words, as it takes of them."""
+    """The mix: documents as often, and with as many words, as it takes of them (cases as in ``mixing.mix_documents``)."""
     return mixing.mix_documents(docs)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, with their count and digests, and the digest of the decoded bytes."""
+    """Token ids of each text, with their count and digests, and the digest of the decoded bytes (cases as in
+    ``encode_documents``)."""
     return encode_documents(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
@@ -69,8 +72,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written and read again; tables that no later stage reads are deleted."""
+    docs, written = table(spark, sf_dir, "documents"), None
     for name, f in STAGES[:-1]:
-        docs = stage(f(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = stage_alone(lambda f=f, docs=docs: f(spark, docs, sf_dir), f"pipeline-{name}")
+        if written is not None:
+            drop_stage(written)
+        written = docs
     return STAGES[-1][1](spark, docs, sf_dir)
