@@ -72,10 +72,10 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _slices(held: dict[int, np.ndarray]) -> pa.RecordBatch:
-    """The places of each slice that hold anything, and their sums."""
+    """The places of each slice that hold anything, and their sums, in 32 bits as counted and 64 as summed."""
     some = {i: np.flatnonzero(v.any(axis=1)).astype(np.int32) for i, v in held.items()}
     some = {i: at for i, at in some.items() if len(at)}
-    columns = [pa.array(list(some), pa.int32()), pa.array([at.tobytes() for at in some.values()], pa.binary()), pa.array([held[i][at].astype(np.int64).tobytes() for i, at in some.items()], pa.binary())]
+    columns = [pa.array(list(some), pa.int32()), pa.array([at.tobytes() for at in some.values()], pa.binary()), pa.array([held[i][at].tobytes() for i, at in some.items()], pa.binary())]
     return pa.RecordBatch.from_arrays(columns, ["slice", "places", "sums"])
 
 
@@ -84,7 +84,8 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, places, sums in zip(batch.column("slice").to_pylist(), batch.column("places"), batch.column("sums"), strict=True):
             at = np.frombuffer(places.as_buffer(), dtype=np.int32)
-            held.setdefault(i, np.zeros(((1 << BITS) // SLICES, DIM), dtype=np.int64))[at] += np.frombuffer(sums.as_buffer(), dtype=np.int64).reshape(-1, DIM)
+            kind = np.int32 if sums.as_buffer().size == 4 * DIM * len(at) else np.int64
+            held.setdefault(i, np.zeros(((1 << BITS) // SLICES, DIM), dtype=np.int64))[at] += np.frombuffer(sums.as_buffer(), dtype=kind).reshape(-1, DIM)
     yield _slices(held)
 
 
