@@ -13,7 +13,7 @@ from skeinflow.domain import curves, spikes, trajectory, tuning
 from skeinflow.functions import jsonfns, lists, scalar
 from skeinflow.operators import asof, frame, matrix, ordered, parallel, sessions, signal, stats
 from skeinflow.plans.catalog import query
-from skeinflow.plans.queries import _L, _W, _events, _orders_lists, _series, r4, t
+from skeinflow.plans.queries import _L, _events, _orders_lists, _series, r4, t
 from skeinflow.sources import arrowio, container, media, msgpack, text, trials
 from skeinflow.stages import shared_dir
 from skeinflow.streaming import feeds
