@@ -7,9 +7,9 @@ bucket links its members to its smallest member only, so candidates grow with th
 
 Links are confirmed on full sets.  A star may miss a pair of members that resemble each other but not the centre.  Where the
 members of a centre are left in several components, the smallest one outside the centre's component becomes their next centre,
-for ROUNDS rounds, each with as many candidates as members at most.  Members still apart after that are compared by sketches of
-some hundred bytes, in blocks: a pair goes to the check on full sets if sizes and sketch allow the similarity, six standard
-deviations granted.  Jaccard distance is a metric, so only members of alike distance to the centre need comparing.
+for ROUNDS rounds, each with as many candidates as members at most.  Members still apart after that are compared on full sets, in
+blocks, which give one link for each two components that they join.  Jaccard distance is a metric, so only members of alike
+distance to the centre need comparing.
 
 Equal sets are first folded to one class, so a group of copies costs one document.
 """
@@ -31,8 +31,8 @@ SHINGLE_WORDS = 5
 BANDS, ROWS = 25, 5
 BINS = 128
 PERCENT = 85
-#: Members compared by sketch at once, members checked against one copy of a centre, and rounds of further centres.
-BLOCK, STAR, ROUNDS = 512, 64, 2
+#: Members of a centre that one task compares at once, members checked against one copy of a centre, and rounds of further centres.
+BLOCK, STAR, ROUNDS = 256, 64, 1
 
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(57)
 #: _RANK[i, j]: place of bin j in the order in which the empty bin i looks for a filled one.
@@ -56,8 +56,8 @@ def shingle_sets(column: pa.Array, lower: bool = True) -> Iterator[np.ndarray]:
                 yield K.window_hashes(h[lo:hi], n) + np.uint64(n) if n else g[:0]
 
 
-def band_keys(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the bands of a non-empty set, and its sketch: a byte of each bin."""
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """Keys of the bands of a non-empty set."""
     at = np.searchsorted(shingles, _EDGES)
     until = np.append(at[1:], len(shingles))
     filled = at < until
@@ -66,22 +66,18 @@ def band_keys(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         have = np.flatnonzero(filled)
         empty = np.flatnonzero(~filled)
         value[empty] = value[have[np.argmin(_RANK[np.ix_(empty, have)], axis=1)]]
-    value = value[: BANDS * ROWS]
-    return K.mix((value.reshape(BANDS, ROWS) * _MULT).sum(axis=1, dtype=np.uint64) ^ _BAND), K.mix(value).astype(np.uint8)
+    return K.mix((value[: BANDS * ROWS].reshape(BANDS, ROWS) * _MULT).sum(axis=1, dtype=np.uint64) ^ _BAND)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, d1, d2, keys, sketches = [], [], [], [], []
+        n, d1, d2, keys = [], [], [], []
         for s in shingle_sets(batch.column("text")):
             n.append(len(s))
             d1.append(K.mix(s).sum(dtype=np.uint64))
             d2.append(K.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
-            sketches.append(None)
             if len(s):
-                key, sketch = band_keys(s)
-                keys.append(key)
-                sketches[-1] = sketch.tobytes()
+                keys.append(band_keys(s))
         has = np.array(n, dtype=np.int64) > 0
         ends = np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32)
         flat = K.signed(np.concatenate(keys)) if keys else np.zeros(0, dtype=np.int64)
@@ -92,9 +88,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(K.signed(np.array(d1, dtype=np.uint64))),
                 pa.array(K.signed(np.array(d2, dtype=np.uint64))),
                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                pa.array(sketches, pa.binary()),
             ],
-            ["doc_id", "n_shingles", "d1", "d2", "bands", "sketch"],
+            ["doc_id", "n_shingles", "d1", "d2", "bands"],
         )
 
 
@@ -132,66 +127,77 @@ def _star(percent: int):
     return run
 
 
-def _block_pairs(ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of members of different components within one block that may be alike enough."""
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    share = percent / 100
-    # Bins that a small set leaves empty repeat others: its sketch counts for half of its filled bins.
-    filled = BINS * (1 - np.exp(-sizes / BINS)) / 2
-    least = sketch.shape[1] * (share - 6 * np.sqrt(share * (1 - share) / np.maximum(filled, 1)))
-    for i in range(len(ids) - 1):
-        rest = slice(i + 1, None)
-        small, large = np.minimum(sizes[i], sizes[rest]), np.maximum(sizes[i], sizes[rest])
-        at = np.flatnonzero((comps[rest] != comps[i]) & (100 * small >= percent * large)) + i + 1
-        agree = (sketch[at] == sketch[i]).sum(axis=1)
-        at = at[agree >= np.minimum(least[at], least[i])]
-        out.append((np.full(len(at), ids[i]), ids[at]))
-    a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-    return np.minimum(a, b), np.maximum(a, b)
+def _block_links(ids: list, comps: list, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between members of different components within one block, one for each two components."""
+    sizes = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets)
+    value, column = np.unique(flat, return_inverse=True)
+    counts = np.bincount(column)
+    shared = np.cumsum(counts > 1) - 1
+    keep = counts[column] > 1
+    if not keep.any():
+        return []
+    row = np.repeat(np.arange(len(sets)), sizes)[keep]
+    col = shared[column[keep]]
+    inter = np.zeros((len(sets), len(sets)), dtype=np.int64)
+    for lo in range(0, int(col.max()) + 1, 8192):
+        part = (col >= lo) & (col < lo + 8192)
+        if part.any():
+            m = np.zeros((len(sets), 8192), dtype=np.float32)
+            m[row[part], col[part] - lo] = 1
+            inter += (m @ m.T).astype(np.int64)
+    union = sizes[:, None] + sizes[None, :] - inter
+    comp = np.array(comps)
+    hit = (100 * inter >= percent * union) & (comp[:, None] != comp[None, :])
+    i, j = np.nonzero(np.triu(hit, 1))
+    low, high = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
+    _, first = np.unique(np.stack([low, high]), axis=1, return_index=True)
+    return [(ids[i[k]], ids[j[k]]) for k in first.tolist()]
 
 
 def _blocks(percent: int):
-    """Rows of one key come together; gives the pairs to check within each key."""
+    """Rows of one key come together; gives links between components within each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
-
-        def pairs() -> pa.RecordBatch:
-            a = b = np.zeros(0, dtype=np.int64)
-            if len(rows) > 1:
-                ids, comps, sizes = (np.array([r[k] for r in rows]) for k in range(3))
-                a, b = _block_pairs(ids, comps, sizes, np.stack([np.frombuffer(r[3], dtype=np.uint8) for r in rows]), percent)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
+        key, ids, comps, sets = None, [], [], []
         for batch in batches:
-            for k, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "member", "comp", "n_shingles", "sketch")), strict=True):
+            links = []
+            rows = zip(*(batch.column(c).to_pylist() for c in ("key", "member", "comp")), strict=True)
+            for (k, member, comp), s in zip(rows, shingle_sets(batch.column("text")), strict=True):
                 if k != key:
-                    yield pairs()
-                    key, rows = k, []
-                rows.append(row)
-        yield pairs()
+                    links += _block_links(ids, comps, sets, percent) if len(ids) > 1 else []
+                    key, ids, comps, sets = k, [], [], []
+                ids.append(member)
+                comps.append(comp)
+                sets.append(s)
+            yield _pairs(links)
+        yield _pairs(_block_links(ids, comps, sets, percent) if len(ids) > 1 else [])
 
     return run
 
 
+def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
 def _spread(c: str, parts: Column) -> Column:
     return F.pmod(F.xxhash64(F.col(c), F.lit(7)), parts)
 
 
-def _checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Distinct (center, member) checked on full sets: a, b, linked, cell (distance in widths of a link's greatest)."""
-    pairs = stage(pairs, "pairs")
+def _checked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Distinct (center, member) checked on full sets: a, b, linked, cell (distance in widths of a link's greatest).
+
+    A class comes with several texts if its id has some: a pair is linked if any of them are, as the id is one.
+    """
     # Aggregates are written before they are joined back, so that Spark can split the partitions of a hot key.
     parts = stage(pairs.groupBy("center").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts")), "parts")
-    dealt = stage(pairs.join(parts, "center").select("center", _spread("member", F.col("parts")).cast("int").alias("part"), "member"), "dealt")
-    wanted = dealt.select("member").union(dealt.select("center")).distinct().withColumnRenamed("member", "cls")
-    texts = stage(docs.join(classes.select("cls", F.col("least").alias("doc_id")).join(wanted, "cls"), "doc_id").select(F.col("cls").alias("member"), "text"), "texts")
-    rows = dealt.union(dealt.select("center", "part", F.col("center").alias("member")).distinct()).join(texts, "member")
+    dealt = pairs.join(parts, "center").select("center", _spread("member", F.col("parts")).cast("int").alias("part"), "member")
+    centers = parts.select("center", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("center").alias("member"))
+    rows = dealt.union(centers).join(texts, "member")
     rows = rows.select("center", "part", "member", (F.col("member") != F.col("center")).alias("rest"), "text")
     rows = rows.repartition("center", "part").sortWithinPartitions("center", "part", "rest", "member")
     checked = stage(rows.mapInArrow(_star(percent), "a long, b long, linked boolean, cell int"), "checked")
-    drop_stage(pairs, parts, dealt, texts)
-    # A class may come with several texts if its id has some: the pair is linked if any of them are, as the id is one.
+    drop_stage(parts)
     return checked
 
 
@@ -230,17 +236,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    sets = stage(docs.mapInArrow(_signatures, f"doc_id {kind}, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary"), "sets")
+    sets = stage(docs.mapInArrow(_signatures, f"doc_id {kind}, n_shingles long, d1 long, d2 long, bands array<long>"), "sets")
     usable = sets.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
     # Numbers of the classes, fixed by being written.
     classes = stage(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
 
     banded = classes.select("cls", F.explode("bands").alias("bucket"))
     hubs = banded.groupBy("bucket").agg(F.min("cls").alias("center"), F.max("cls").alias("last")).where("center < last")
     hubs = stage(hubs.select("bucket", "center"), "hubs")
-    stars = banded.join(hubs, "bucket").where("cls <> center").select("center", F.col("cls").alias("member")).distinct()
-    checked = _checked(stars, classes, docs, percent)
+    stars = stage(banded.join(hubs, "bucket").where("cls <> center").select("center", F.col("cls").alias("member")).distinct(), "stars")
+    # The texts of all that is ever compared, as later rounds are among the members of these stars; shuffled by id here only.
+    wanted = stars.select(F.col("member").alias("cls")).union(stars.select("center")).distinct()
+    texts = docs.join(classes.select("cls", F.col("least").alias("doc_id")).join(wanted, "cls"), "doc_id")
+    texts = stage(texts.select(F.col("cls").alias("member"), "text"), "texts")
+    checked = _checked(stars, texts, percent)
 
     # An id that has several classes joins them.
     ids = usable.join(classes.select("d1", "d2", "cls"), ["d1", "d2"]).select("doc_id", "cls")
@@ -256,29 +266,29 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         next_hub = own.where("comp <> hub").groupBy("a").agg(F.min(F.struct("b", "comp")).alias("next"))
         next_hub = stage(next_hub.select("a", F.col("next.b").alias("center"), F.col("next.comp").alias("center_comp")), "next")
         more = apart.join(next_hub, "a").where("comp <> center_comp").select("center", F.col("b").alias("member")).distinct()
-        found = _checked(more, classes, docs, percent)
+        more = stage(more, "stars")
+        found = _checked(more, texts, percent)
         roots = _merged(roots, found.where("linked").select("a", "b"))
-        drop_stage(apart, next_hub, found)
+        drop_stage(apart, next_hub, more, found)
     else:
         apart = _apart(checked, roots)
         if not apart.isEmpty():
-            pairs = _alike_pairs(apart, classes, percent).select(F.col("a").alias("center"), F.col("b").alias("member")).distinct()
-            found = _checked(pairs, classes, docs, percent)
-            roots = _merged(roots, found.where("linked").select("a", "b"))
-            drop_stage(found)
+            found = stage(_block_wise(apart, texts, percent), "rest")
+            roots = _merged(roots, found)
+            drop_stage(apart, found)
 
     known = classes.select("d1", "d2", "cls", "least").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     known = stage(known.select("d1", "d2", "least", F.coalesce("component", "cls").alias("root")), "known")
     lowest = known.groupBy("root").agg(F.min("least").alias("component"))
-    drop_stage(hubs, checked, roots, classes)
+    drop_stage(hubs, stars, texts, checked, roots, classes)
     out = sets.select("doc_id", "n_shingles", "d1", "d2").join(known.join(lowest, "root").select("d1", "d2", "component"), ["d1", "d2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _alike_pairs(apart: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) to check among the members of each centre that are in different components, by their sketches."""
+def _block_wise(apart: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components among the members of each centre."""
     apart = apart.withColumn("part", _spread("b", F.col("parts")).cast("int"))
     # Cells are as wide as the greatest distance of a link: only equal or adjacent ones can hold one.
     other = F.sequence(F.lit(0), F.col("parts") - 1)
@@ -296,7 +306,7 @@ def _alike_pairs(apart: DataFrame, classes: DataFrame, percent: int) -> DataFram
     split = F.filter(split, lambda k: (k["x"]["cell"] >= 0) & (k["y"]["cell"] > 0))
     keyed = apart.select("a", "b", "comp", F.explode(F.when(F.col("parts") == 1, small).otherwise(split)).alias("k"))
     keyed = keyed.select(F.concat_ws(",", "a", "k.x.cell", "k.x.part", "k.y.cell", "k.y.part").alias("key"), F.col("b").alias("member"), "comp")
-    rows = keyed.join(classes.select(F.col("cls").alias("member"), "n_shingles", "sketch"), "member").select("key", "member", "comp", "n_shingles", "sketch")
+    rows = keyed.join(texts, "member").select("key", "member", "comp", "text")
     rows = rows.repartition("key").sortWithinPartitions("key", "member")
     return rows.mapInArrow(_blocks(percent), "a long, b long")
 
