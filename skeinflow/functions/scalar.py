@@ -190,20 +190,18 @@ def to_uint(x) -> Column:
 
 
 def to_int(x) -> Column:
-    """Toward zero; text by its leading number, else 0; null and NaN give 0, what is beyond 64 bits their end."""
-    return F.coalesce(_c(x).try_cast("long"), _leading(x).try_cast("long"), F.when(_leading(x) > 0, F.lit(2**63 - 1)).when(_leading(x) < 0, F.lit(-(2**63))), F.lit(0)).cast("long")
-
-
-def _leading(x) -> Column:
-    """A number, or the number that a text starts with."""
-    text = F.regexp_extract(_c(x).cast("string"), r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1)
-    value = F.coalesce(_c(x).try_cast("double"), text.try_cast("double"))
-    return F.when(~F.isnan(value), value)
+    """Toward zero; text by the digits that it starts with, else 0; null and NaN give 0, what is beyond 64 bits their end."""
+    x = _c(x)
+    digits = F.regexp_extract(x.cast("string"), r"^\s*([+-]?\d+)", 1)
+    value = F.when(F.typeof(x) == "string", digits.try_cast("double")).otherwise(x.try_cast("double"))
+    whole = F.when(F.typeof(x) == "string", digits.try_cast("long")).otherwise(x.try_cast("long"))
+    return F.coalesce(whole, F.when(F.isnan(value), 0).when(value > 0, F.lit(2**63 - 1)).when(value < 0, F.lit(-(2**63))), F.lit(0)).cast("long")
 
 
 def to_float(x) -> Column:
-    """As a double; text by its leading number, else 0."""
-    return F.coalesce(_c(x).try_cast("double"), _leading(x), F.lit(0.0))
+    """As a double; text by the number that it starts with, else 0."""
+    start = F.regexp_extract(_c(x).cast("string"), r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1)
+    return F.coalesce(_c(x).try_cast("double"), start.try_cast("double"), F.lit(0.0))
 
 
 def to_text(x) -> Column:

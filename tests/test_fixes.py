@@ -43,9 +43,10 @@ def test_fill_grid_on_one_long_key(spark):
 
 
 def test_numbers_from_text(spark):
-    text = ["12abc", " -3.9x", "abc", None, "1e3", "NaN", "9e99", "-9e99", "7"]
+    text = ["12abc", " -3.9x", "abc", None, "1e3", "NaN", "9" * 30, "-" + "9" * 30, "7"]
     df = spark.createDataFrame([(i, s) for i, s in enumerate(text)], "i int, s string")
-    assert [r.x for r in df.select("i", scalar.to_int("s").alias("x")).orderBy("i").collect()] == [12, -3, 0, 0, 1000, 0, 2**63 - 1, -(2**63), 7]
+    assert [r.x for r in df.select("i", scalar.to_int("s").alias("x")).orderBy("i").collect()] == [12, -3, 0, 0, 1, 0, 2**63 - 1, -(2**63), 7]
+    assert [r.x for r in df.where("i < 5").select("i", scalar.to_float("s").alias("x")).orderBy("i").collect()] == [12.0, -3.9, 0.0, 0.0, 1000.0]
     doubles = spark.createDataFrame([(0, 2.9), (1, -2.9), (2, float("nan")), (3, 1e30), (4, None)], "i int, x double")
     assert [r.x for r in doubles.select("i", scalar.to_int("x").alias("x")).orderBy("i").collect()] == [2, -2, 0, 2**63 - 1, 0]
     assert spark.createDataFrame([(2**62 + 1,)], "x long").select(scalar.to_int("x").alias("x")).first().x == 2**62 + 1

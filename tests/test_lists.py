@@ -152,7 +152,7 @@ def test_pairwise(one):
 
 def test_scalars(one):
     assert one(scalar.div(F.lit(3.0), F.lit(0))) == 0 and one(scalar.int_div(F.lit(-7), F.lit(2))) == -3 and one(scalar.int_div(F.lit(7), F.lit(0))) == 0
-    assert one(scalar.rounded(F.lit(-2.5))) == -3 and one(scalar.to_int(F.lit("12.9x"))) == 0 and one(scalar.to_int(F.lit(-3.7))) == -3
+    assert one(scalar.rounded(F.lit(-2.5))) == -3 and one(scalar.to_int(F.lit("12.9x"))) == 12 and one(scalar.to_int(F.lit(-3.7))) == -3
     assert one(scalar.to_char(F.lit(200))) == -56 and one(scalar.to_uchar(F.lit(-56))) == 200
     assert one(scalar.log(F.lit(0))) == float("-inf") and math.isnan(one(scalar.log(F.lit(-1))))
     assert one(scalar.distance(F.lit(4), F.lit(0), F.lit(4), F.lit(7))) == 7
