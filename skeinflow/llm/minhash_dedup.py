@@ -242,9 +242,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # Numbers of the classes, fixed by being written.
     classes = stage(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
 
-    banded = classes.select("cls", F.explode("bands").alias("bucket"))
-    hubs = banded.groupBy("bucket").agg(F.min("cls").alias("center"), F.max("cls").alias("last")).where("center < last")
-    hubs = stage(hubs.select("bucket", "center"), "hubs")
+    banded = classes.select("cls", "least", F.explode("bands").alias("bucket"))
+    # The centre is the class with the smallest id: an original mostly comes before what was made from it.
+    hubs = banded.groupBy("bucket").agg(F.min(F.struct("least", "cls"))["cls"].alias("center"), F.min("cls").alias("low"), F.max("cls").alias("high"))
+    hubs = stage(hubs.where("low < high").select("bucket", "center"), "hubs")
     stars = stage(banded.join(hubs, "bucket").where("cls <> center").select("center", F.col("cls").alias("member")).distinct(), "stars")
     # The texts of all that is ever compared, as later rounds are among the members of these stars; shuffled by id here only.
     wanted = stars.select(F.col("member").alias("cls")).union(stars.select("center")).distinct()
