@@ -100,3 +100,20 @@ def test_saccades_of_made_traces():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 3, 20, 500):
         eye.saccades(rng.uniform(0, 100, n), rng.uniform(0, 100, n), np.arange(n) * 0.004, rng.random(n) < 0.1)
+
+
+def test_distances_of_paths_hold_no_tables_of_steps():
+    x = np.random.default_rng(3).normal(size=(50, 8, 2))
+    d = cluster.dtw_distances(x[0], x)
+    assert d.base is None and d == pytest.approx([cluster.dtw_distance(x[0], y) for y in x])
+    assert cluster.dtw_distances(x[0], x[:, :0]).tolist() == [np.inf] * 50 and cluster.dtw_distance(x[0, :0], x[0, :0]) == 0
+
+
+def test_all_pairs_of_paths_of_several_lengths(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "_PAIRS", 10)
+    rng = np.random.default_rng(7)
+    path = {k: rng.normal(size=(int(rng.integers(1, 5)), 2)) for k in range(40)}
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in path.items()], "k long, path array<array<double>>")
+    got = [((r.a, r.b), r.distance) for r in cluster.dtw_matrix(df, "k", "path", blocks=3).collect()]
+    want = {(a, b): cluster.dtw_distance(path[a], path[b]) for a in path for b in path if a < b}
+    assert len(got) == len(want) and dict(got) == pytest.approx(want)
