@@ -15,12 +15,20 @@ from skeinflow.plans.queries import _L, _orders_lists
 _N = "range(1, len(q) + 1)"
 
 
+def _round(x: Column) -> Column:
+    """To 4 digits as SQL does it: the double is scaled, then rounded to a whole number, halves away from zero.  (F.round rounds the
+    shortest decimal that reads back as the double instead, so quotients next to a half can differ.)"""
+    x = x.cast("double")
+    near = F.round(x * 1e4) / 1e4
+    return F.when(F.isnan(near) | (F.abs(near) == float("inf")), x).otherwise(near)
+
+
 def _listed(name: str, sql: str, build: Callable[[], Column]) -> None:
     """(k, i, x): the elements of a list of numbers."""
 
     def run(spark, d):
         rows = _orders_lists(spark, d).select("k", F.posexplode(build()).alias("i", "x"))
-        return rows.select("k", "i", F.round(F.col("x").cast("double"), 4).alias("x"))
+        return rows.select("k", "i", _round(F.col("x")).alias("x"))
 
     query(name, _L + f"SELECT k, i, round(x::DOUBLE, 4) AS x FROM (SELECT k, unnest(range(len(e)))::INTEGER AS i, unnest(e) AS x FROM (SELECT k, {sql} AS e FROM o))")(run)
 
@@ -30,7 +38,7 @@ def _nested(name: str, sql: str, build: Callable[[], Column]) -> None:
 
     def run(spark, d):
         rows = _orders_lists(spark, d).select("k", F.posexplode(build()).alias("i", "s")).select("k", "i", F.posexplode("s").alias("j", "x"))
-        return rows.select("k", "i", "j", F.round(F.col("x").cast("double"), 4).alias("x"))
+        return rows.select("k", "i", "j", _round(F.col("x")).alias("x"))
 
     outer = f"SELECT k, unnest(range(len(e)))::INTEGER AS i, unnest(e) AS s FROM (SELECT k, {sql} AS e FROM o)"
     query(name, _L + f"SELECT k, i, j, round(x::DOUBLE, 4) AS x FROM (SELECT k, i, unnest(range(len(s)))::INTEGER AS j, unnest(s) AS x FROM ({outer}))")(run)
@@ -40,7 +48,7 @@ def _valued(name: str, sql: str, build: Callable[[], Column]) -> None:
     """(k, x): a number of each list."""
 
     def run(spark, d):
-        return _orders_lists(spark, d).select("k", F.round(build().cast("double"), 4).alias("x"))
+        return _orders_lists(spark, d).select("k", _round(build()).alias("x"))
 
     query(name, _L + f"SELECT k, round(({sql})::DOUBLE, 4) AS x FROM o")(run)
 

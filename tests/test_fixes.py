@@ -3,10 +3,12 @@
 import struct
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from skeinflow.domain import cluster, eye
 from skeinflow.functions import scalar
 from skeinflow.operators import asof, grouping, ordered
@@ -117,3 +119,15 @@ def test_all_pairs_of_paths_of_several_lengths(spark, monkeypatch):
     got = [((r.a, r.b), r.distance) for r in cluster.dtw_matrix(df, "k", "path", blocks=3).collect()]
     want = {(a, b): cluster.dtw_distance(path[a], path[b]) for a in path for b in path if a < b}
     assert len(got) == len(want) and dict(got) == pytest.approx(want)
+
+
+def test_quotients_next_to_a_half_round_as_in_sql(spark, tmp_path):
+    """Quotients of 5 digits that end in 5, as doubles next to a half or on it, with nothing forgiven."""
+    rows = [(i // 3, i % 3, i, p, q) for i, (p, q) in enumerate([(41555.31, 24.0), (32680.19, 40.0), (73519.18, 16.0), (104564.54, 16.0), (69237.87, 40.0), (8.0, 0.5), (-41555.31, 24.0)])]
+    path = f"{tmp_path}/lineitem.parquet"
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_extendedprice double, l_quantity double").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{path}/*.parquet'")
+    want = con.execute(entry.oracle_sql()["list_div_rows"]).fetchall()
+    got = [tuple(r) for r in entry.queries()["list_div_rows"](spark, str(tmp_path)).select("k", "i", "x").collect()]
+    assert sorted(got) == sorted(want)
