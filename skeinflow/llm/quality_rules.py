@@ -4,12 +4,13 @@ The language model is over characters, in n-grams of up to ORDER: code points by
 values of their own for the start of a text and for none.  An n-gram is thus a 64-bit code whose context and shorter forms are
 shifts and masks of it.  Tasks count n-grams of every document in numpy, a hash aggregate sums; continuation counts, discounts,
 context totals and the mass that a context leaves to the shorter n-gram (modified Kneser-Ney) are DataFrame aggregates in whole
-numbers, so reruns agree to the bit.  Each language keeps its MOST most frequent n-grams of each order, and what it drops goes to
-the mass left.  These are arrays sorted by the hash of the n-gram, which scoring searches for the distinct n-grams of each slice
-of text.  The arrays of the most frequent languages are broadcast, and are of bounded size (LANGUAGES times some 2 * ORDER * MOST
-entries of 12 bytes at most, a tenth of that in practice).  Those of all further languages, however many, are
-written; their documents are dealt by language, in parts of some thousands, and each part meets its language's arrays in a sorted
-stream.
+numbers, so reruns agree to the bit.  Every n-gram of every language is kept.  As all texts that are scored have been counted, joins
+give the bits of each of the longest n-grams, in a written table.  The MOST most frequent ones of a language go to arrays sorted by
+the hash of the n-gram, which scoring searches for the distinct n-grams of each slice of text; what is not there is listed
+beside the text and joined with the table, so the arrays save work and decide nothing.  The arrays of the most frequent languages
+are broadcast, and are of bounded size (LANGUAGES times MOST entries of 12 bytes at most).  Those of all further languages,
+however many, are written; their documents are dealt by language, in parts of some thousands, and each part meets its language's
+arrays in a sorted stream.  Bits are added up in whole numbers of 1 / UNIT.
 
 Perplexity is taken twice, as bits per symbol and bits per word: marks strung behind each word are easy to foresee one by one, so
 they hardly show in the first, but a word with them takes more bits than one without; and the other way round for words run
@@ -30,13 +31,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinflow.llm import kernels as K
-from skeinflow.llm.common import drop_stage, stage
+from skeinflow.llm.common import drop_stage, stage, stage_alone
 
 ORDER = 4
 #: Symbols that stand for the start of a text and, as a leading part of a code, for no symbol.
 START, NONE = 1, 0
-#: N-grams of an order that a language keeps (the more frequent ones; symbols by themselves are all kept).
-MOST = 1 << 17
+#: Of the longest n-grams of a language, how many are in its arrays at most (the more frequent ones; the others are joined).
+MOST = 1 << 18
+#: Parts of a bit in which bits are added up.
+UNIT = 1 << 20
 #: Languages (null being one) whose models are broadcast, the most frequent ones, and rows of the others in a part.
 LANGUAGES = 16
 PART_ROWS = 4096
@@ -136,9 +139,17 @@ def _discount(k: int) -> Column:
     return F.when((n1 > 0) & (n2 > 0) & (n3 > 0) & (n4 > 0), F.least(F.greatest(value, F.lit(0.01)), F.lit(most))).otherwise(F.lit(plain))
 
 
-def kneser_ney(counts: DataFrame, most: int = MOST) -> DataFrame:
-    """Counts (grp, code, n) of the longest n-grams -> (grp, kind, code, value): kind 0 has the discounted share of an n-gram in
-    its context, kind 1 the mass that a context leaves to the shorter n-gram (1 where it isn't listed)."""
+def _least_counts(counts: DataFrame, by: list[str], most: int) -> DataFrame:
+    """``by`` and cut: the least n with which at most ``most`` rows have that or more (no row where even the greatest has more)."""
+    ranks = counts.groupBy(*by, "n").agg(F.count("*").alias("c"))
+    down = Window.partitionBy(*by).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    return ranks.withColumn("upto", F.sum("c").over(down)).where(F.col("upto") <= most).groupBy(*by).agg(F.min("n").alias("cut"))
+
+
+def kneser_ney(counts: DataFrame, most: int | None = None) -> DataFrame:
+    """Counts (grp, code, n) of the longest n-grams -> (grp, kind, code, value, ord): kind 0 has the discounted share of an n-gram in
+    its context, kind 1 the mass that a context leaves to the shorter n-gram (1 where it isn't listed).  With ``most``, only so many
+    n-grams of an order are listed (symbols all), and what the others had goes to the mass left; the query lists all."""
     longer = counts.select("grp", F.lit(ORDER).alias("ord"), "code", "n")
     grams = longer
     for order in range(ORDER - 1, 0, -1):
@@ -148,10 +159,11 @@ def kneser_ney(counts: DataFrame, most: int = MOST) -> DataFrame:
     grams = stage(grams.withColumn("ctx", F.shiftrightunsigned("code", 16)), "grams")
     seen = [F.sum((F.col("n") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)]
     rates = grams.groupBy("grp", "ord").agg(*seen).select("grp", "ord", *(_discount(k).alias(f"d{k}") for k in (1, 2, 3)))
-    ranks = grams.groupBy("grp", "ord", "n").agg(F.count("*").alias("c"))
-    down = Window.partitionBy("grp", "ord").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
-    fits = ranks.withColumn("upto", F.sum("c").over(down)).where((F.col("upto") <= most) | (F.col("ord") == 1))
-    rates = stage(rates.join(fits.groupBy("grp", "ord").agg(F.min("n").alias("cut")), ["grp", "ord"], "left"), "rates")
+    if most is None:
+        rates = rates.withColumn("cut", F.lit(0))
+    else:
+        rates = rates.join(_least_counts(grams, ["grp", "ord"], most), ["grp", "ord"], "left").withColumn("cut", F.when(F.col("ord") == 1, 0).otherwise(F.col("cut")))
+    rates = stage(rates, "rates")
 
     # Whole numbers until the last step, so that the order of summing does not matter.
     named = grams.join(rates, ["grp", "ord"]).withColumn("kept", F.coalesce(F.col("n") >= F.col("cut"), F.lit(False)))
@@ -160,13 +172,31 @@ def kneser_ney(counts: DataFrame, most: int = MOST) -> DataFrame:
     contexts = stage(contexts, "contexts")
     d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
     shares = named.where("kept").join(contexts.select("grp", "ord", "ctx", "total"), ["grp", "ord", "ctx"])
-    shares = shares.select("grp", F.lit(0).alias("kind"), "code", ((F.col("n") - d) / F.col("total")).cast("float").alias("value"))
+    shares = shares.select("grp", F.lit(0).alias("kind"), "code", ((F.col("n") - d) / F.col("total")).cast("float").alias("value"), "ord")
     off = F.col("k1") * F.col("d1") + F.col("k2") * F.col("d2") + F.col("k3") * F.col("d3")
     left = contexts.where("here > 0").join(rates, ["grp", "ord"])
-    left = left.select("grp", F.lit(1).alias("kind"), F.col("ctx").alias("code"), (1 - (F.col("here") - off) / F.col("total")).cast("float").alias("value"))
+    left = left.select("grp", F.lit(1).alias("kind"), F.col("ctx").alias("code"), (1 - (F.col("here") - off) / F.col("total")).cast("float").alias("value"), "ord")
     return shares.union(left)
 
 
+def ngram_bits(counts: DataFrame) -> DataFrame:
+    """(grp, code, n, value): bits of the last symbol of every one of the longest n-grams after the others."""
+    entries = stage(kneser_ney(counts), "entries")
+    found = None
+    for order in range(1, ORDER + 1):
+        grams = entries.where((F.col("kind") == 0) & (F.col("ord") == order)).select("grp", "code", F.col("value").alias("share"), F.shiftrightunsigned("code", 16).alias("ctx"))
+        left = entries.where((F.col("kind") == 1) & (F.col("ord") == order)).select("grp", F.col("code").alias("ctx"), F.col("value").alias("left"))
+        grams = grams.join(left, ["grp", "ctx"])
+        if found is None:
+            grams = grams.withColumn("below", F.lit(1 / (1 << 16)))
+        else:
+            grams = grams.withColumn("less", F.col("code").bitwiseAND(F.lit((1 << (16 * (order - 1))) - 1)))
+            grams = grams.join(found.select("grp", F.col("code").alias("less"), F.col("p").alias("below")), ["grp", "less"])
+        found = grams.select("grp", "code", (F.col("left").cast("double") * F.col("below") + F.col("share").cast("double")).alias("p"))
+    value = (-F.log2(F.greatest("p", F.lit(2.0**-40)))).cast("float")
+    return found.join(counts, ["grp", "code"]).select("grp", "code", "n", value.alias("value"))
+
+
 _ARRAYS = ("share_key", "share", "left_key", "left")
 _KINDS = ("u8", "f4", "u8", "f4")
 
@@ -206,11 +236,13 @@ def bits(arrays: tuple[np.ndarray, ...], code: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Groups (hashes of languages) whose arrays are broadcast, those arrays, and a table of the other groups' ones."""
+    """Groups (hashes of languages) whose arrays are broadcast, those arrays, a table of the other groups' ones, and the bits of all
+    n-grams where some are in no arrays."""
 
     common: list[int]
     arrays: object
     others: DataFrame | None = None
+    table: DataFrame | None = None
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
@@ -226,7 +258,11 @@ def fit(docs: DataFrame) -> Model:
     ranked = [r["grp"] for r in sizes.orderBy(F.desc("count"), "grp").limit(LANGUAGES + 1).collect()]
     common = ranked[:LANGUAGES]
     counts = docs.mapInArrow(_count, "grp long, code long, n long").groupBy("grp", "code").agg(F.sum("n").alias("n"))
-    entries = stage(kneser_ney(stage(counts, "counts")), "entries")
+    table = stage_alone(lambda: ngram_bits(stage(counts, "counts")), "bits")
+    beyond = not table.groupBy("grp").count().where(F.col("count") > MOST).isEmpty()
+    entries = table.withColumn("kind", F.lit(0))
+    if beyond:
+        entries = stage(entries.join(_least_counts(table, ["grp"], MOST), "grp").where("n >= cut").drop("cut"), "entries")
     schema = "grp long, " + ", ".join(f"`{a}` binary" for a in _ARRAYS)
     is_common = F.col("grp").isin(common)
     packed = entries.where(is_common).groupBy("grp").applyInArrow(_packed, schema).collect()
@@ -237,7 +273,7 @@ def fit(docs: DataFrame) -> Model:
         parts = sizes.where(~is_common).select("grp", F.ceil(F.col("count") / PART_ROWS).cast("int").alias("parts"))
         others = stage(parts.join(rest, "grp", "left"), "models")
     drop_stage(entries)
-    return Model(common, spark.sparkContext.broadcast(arrays), others)
+    return Model(common, spark.sparkContext.broadcast(arrays), others, table if beyond else None)
 
 
 def _seeded(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -277,35 +313,37 @@ def text_counts(t: K.Texts) -> list[np.ndarray]:
 
 _STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _MILLI = ["symbol_milli", "word_milli"]
-
-
-_STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-_MILLI = ["symbol_milli", "word_milli"]
+#: Of a text: symbols, parts of a bit of those n-grams that the arrays have, and the others.
+_SUMS = {"symbols": "long", "units": "long", "rest": "array<long>"}
 
 
 def _measured(batch: pa.RecordBatch, keep: list[str], arrays_of: Callable[[int], tuple[np.ndarray, ...] | None]) -> pa.RecordBatch:
-    """``keep`` columns, counts, group and thousandths of a bit (per symbol, per word) of a batch; ``arrays_of`` gives the model
-    of a group."""
+    """``keep`` columns, counts, group and sums of a batch; ``arrays_of`` gives the arrays of a group."""
     stats: list[list[np.ndarray]] = []
-    total, size = [np.zeros(0)], [np.zeros(0, dtype=np.int64)]
+    units, size, rest, rests = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(1, dtype=np.int64)]
     group = batch.column("grp").to_numpy()
     for t in K.texts(batch.column("text")):
         stats.append(text_counts(t))
         s, first = symbols(t)
         code = ngrams(s, first)
-        mine = np.zeros(len(code), dtype=np.float64)
+        mine = np.zeros(len(code), dtype=np.int64)
         of = np.repeat(group[t.lo : t.hi], np.diff(first))
         for g in np.unique(of).tolist():
             arrays = arrays_of(g)
             at = of == g
             distinct, where = np.unique(code[at], return_inverse=True)
-            mine[at] = 16.0 if arrays is None else bits(arrays, distinct)[where]
-        total.append(K.per_row(mine, first))
+            value = np.full(len(distinct), -1.0) if arrays is None else _look(*arrays[:2], distinct, -1.0)
+            mine[at] = np.where(value < 0, -1, np.rint(value * UNIT)).astype(np.int64)[where]
+        out = mine < 0
+        mine[out] = 0
+        units.append(K.per_row(mine, first))
         size.append(np.diff(first))
+        rest.append(K.signed(code[out]))
+        rests.append(K.per_row(out.astype(np.int64), first))
     columns = [pa.array(np.concatenate(x)) for x in zip(*stats, strict=True)] if stats else [pa.array([], pa.int64())] * 5
-    both = (np.concatenate(size), columns[0].to_numpy())
-    milli = [pa.array(np.round(1000 * np.concatenate(total) / np.maximum(n, 1)).astype(np.int64)) for n in both]
-    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns, batch.column("grp"), *milli], [*keep, *_STATS, "grp", *_MILLI])
+    lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(rests)).astype(np.int32)), pa.array(np.concatenate(rest)))
+    sums = [pa.array(np.concatenate(size)), pa.array(np.concatenate(units).astype(np.int64)), lists]
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns, batch.column("grp"), *sums], [*keep, *_STATS, "grp", *_SUMS])
 
 
 def _score(model: Model, keep: list[str]):
@@ -347,18 +385,28 @@ def _scores_others(rows: DataFrame, model: Model, kept: list[str], schema: str)
 
 
 def scores(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs``, as k0, k1, ..., with the counts, base_failed, grp and thousandths of a bit per symbol
-    and per word."""
+    """A written table of the ``keep`` columns of ``docs``, as k0, k1, ..., with the counts, base_failed, grp and thousandths of a bit
+    per symbol and per word."""
     kept = [f"k{i}" for i in range(len(keep))]
     rows = _grouped(docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)), "text", "lang")).drop("lang")
     kinds = [rows.schema[k].dataType.simpleString() for k in kept]
-    schema = ", ".join([*(f"{k} {t}" for k, t in zip(kept, kinds, strict=True)), *(f"{c} long" for c in _STATS), "grp long", *(f"{c} long" for c in _MILLI)])
+    schema = ", ".join([*(f"{k} {t}" for k, t in zip(kept, kinds, strict=True)), *(f"{c} long" for c in _STATS), "grp long", *(f"{c} {t}" for c, t in _SUMS.items())])
     is_common = F.col("grp").isin(model.common)
-    found = (rows if model.others is None else rows.where(is_common)).mapInArrow(_score(replace(model, others=None), kept), schema)
+    found = (rows if model.others is None else rows.where(is_common)).mapInArrow(_score(replace(model, others=None, table=None), kept), schema)
     if model.others is not None:
         found = found.union(_scores_others(rows.where(~is_common), model, kept, schema))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return found.withColumn("base_failed", failed)
+    found = found.withColumn("base_failed", failed)
+    if model.table is None:
+        found = stage(found.drop("rest"), "quality")
+    else:
+        found = stage(found.withColumn("key", F.monotonically_increasing_id()), "quality")
+        asked = found.where(F.size("rest") > 0).select("key", "grp", F.explode("rest").alias("code"))
+        table = model.table.select("grp", "code", F.rint(F.col("value").cast("double") * UNIT).cast("long").alias("more"))
+        more = stage(asked.join(table, ["grp", "code"]).groupBy("key").agg(F.sum("more").alias("more")), "rest")
+        found = found.drop("rest").join(more, "key", "left").withColumn("units", F.col("units") + F.coalesce("more", F.lit(0))).drop("key", "more")
+    milli = [F.rint(1000 * F.col("units") / UNIT / F.greatest(n, F.lit(1))).cast("long").alias(c) for n, c in zip(("symbols", "n_words"), _MILLI, strict=True)]
+    return found.select("*", *milli).drop("symbols", "units")
 
 
 def _band(value: np.ndarray, weight: np.ndarray, least: float) -> tuple[int, float]:
@@ -382,7 +430,7 @@ def _bands(t: pa.Table) -> pa.Table:
 
 
 def verdict(scored: DataFrame) -> DataFrame:
-    """``scored`` (a written table) with ``kept``: inside both bands of its language, from all texts that pass the counts."""
+    """``scored`` (of ``scores``) with ``kept``: inside both bands of its language, from all texts that pass the counts."""
     values = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("milli")) for k, c in enumerate(_MILLI)))
     hist = scored.where("NOT base_failed").select("grp", F.explode(values).alias("v")).groupBy("grp", "v.kind", "v.milli").agg(F.count("*").alias("n"))
     schema = "grp long, " + ", ".join(f"{c}_middle long, {c}_half double" for c in _MILLI)
@@ -402,8 +450,7 @@ def quality(docs: DataFrame) -> DataFrame:
     whole, in memory of some 60 times the longest; a text at the border of a band is kept; an empty table gives no rows; other
     columns, whatever their names, are not looked at.
     """
-    scored = stage(scores(docs, fit(docs), ["doc_id"]), "quality")
-    found = verdict(scored)
+    found = verdict(scores(docs, fit(docs), ["doc_id"]))
     return found.select(F.col("k0").alias("doc_id"), *_STATS, "base_failed", (F.col("symbol_milli") / 1000).alias("bits"), (F.col("word_milli") / 1000).alias("word_bits"), "kept")
 
 
@@ -412,8 +459,7 @@ def quality_filter(docs: DataFrame) -> DataFrame:
 
     Texts are scored once: their rows are written with the scores, as the bands need all of these first.
     """
-    scored = stage(scores(docs, fit(docs), docs.columns), "quality")
-    kept = verdict(scored).where("kept")
+    kept = verdict(scores(docs, fit(docs), docs.columns)).where("kept")
     return kept.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
