@@ -28,8 +28,8 @@ BITS, DIM, REACH = 18, 32, 2
 #: Labelled documents to learn from at most; one in HELD of them fits the temperature.
 TRAIN_ROWS, HELD = 12_000, 5
 HIDDEN, EPOCHS, RATE, DECAY = 24, 60, 5e-3, 1e-4
-#: Slices of the vector table that travel as one row, and tasks that first sum a slice.
-SLICES, SALTS = 32, 8
+#: Slices of the vector table that travel as one row, partitions of documents whose sums are added up together first, and tasks that do so.
+SLICES, TOGETHER, SUMMING = 32, 8, 256
 
 _CLASS = np.full(256, 3, dtype=np.uint8)
 _CLASS[K.SEPARATOR] = 0
@@ -89,12 +89,18 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _slices(held)
 
 
+_SUMS = "slice int, places binary, sums binary"
+
+
+def partial_sums(docs: DataFrame) -> DataFrame:
+    """Sums of the index vectors of neighbours by slice, each over some TOGETHER partitions of ``docs``."""
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_gather, _SUMS)
+    return rows.withColumn("salt", F.floor(F.spark_partition_id() / TOGETHER)).repartition(SUMMING, "slice", "salt").drop("salt").mapInArrow(_sum, _SUMS)
+
+
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit word vector of every place, zero where nothing was seen, from all ``docs``."""
-    schema = "slice int, places binary, sums binary"
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_gather, schema)
-    some = rows.withColumn("salt", F.spark_partition_id() % SALTS).repartition(SLICES * SALTS, "slice", "salt").drop("salt").mapInArrow(_sum, schema)
-    found = some.repartition(SLICES, "slice").mapInArrow(_sum, schema).collect()
+    found = partial_sums(docs).repartition(SLICES, "slice").mapInArrow(_sum, _SUMS).collect()
     table = np.zeros((SLICES, (1 << BITS) // SLICES, DIM), dtype=np.float32)
     for r in found:
         sums = np.frombuffer(bytes(r["sums"]), dtype=np.int64).reshape(-1, DIM).astype(np.float64)
@@ -192,11 +198,10 @@ def _pool(model):
     return run
 
 
-def _score(model):
+def _score(vectors, net):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, net = model.value
         for batch in batches:
-            p = net.probabilities(pooled(batch.column("text"), table))
+            p = net.value.probabilities(pooled(batch.column("text"), vectors.value))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], ["doc_id", "score"])
 
     return run
@@ -213,12 +218,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     context = docs.sparkSession.sparkContext
     apart = remainder(F.col("doc_id"), 3)
-    table = word_vectors(docs)
+    # Every broadcast is a file on each executor, so the table goes out once.
+    vectors = context.broadcast(word_vectors(docs))
     sample = labelled_sample(docs, labels, "quality", apart != 1, TRAIN_ROWS)
-    rows = sample.mapInArrow(_pool(context.broadcast(table)), "place long, label int, x array<float>").toArrow().sort_by([("place", "ascending"), ("label", "ascending")])
+    rows = sample.mapInArrow(_pool(vectors), "place long, label int, x array<float>").toArrow().sort_by([("place", "ascending"), ("label", "ascending")])
     x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, 2 * DIM) if rows.num_rows else np.zeros((0, 2 * DIM), np.float32)
     net = train(x, rows.column("label").to_numpy())
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    scored = scored.mapInArrow(_score(context.broadcast((table, net))), f"doc_id {kind}, score double")
+    scored = scored.mapInArrow(_score(vectors, context.broadcast(net)), f"doc_id {kind}, score double")
     return scored.select("doc_id", (apart == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -1,6 +1,7 @@
 """Texts longer than a slice of the kernels, ids that are texts, nulls and repeated rows through operators and pipeline."""
 
 import hashlib
+import pickle
 import random
 
 import public_tokenizers as P
@@ -83,3 +84,19 @@ def test_mix_tells_sources_apart(spark):
     for r in mixing.mix_documents(d).collect():
         got[(r.doc_id, r.source)] += len(WORD.findall(r.text))
     assert got == want
+
+
+def test_quality_classifier_sends_its_table_once(spark, monkeypatch):
+    d = spark.createDataFrame([(i, f"word{i % 7} and more of it " * 5) for i in range(60)], "doc_id long, text string").repartition(8)
+    labels = d.selectExpr("doc_id", "cast(doc_id % 2 as int) AS quality")
+    sent = []
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, v, f=type(spark.sparkContext).broadcast: sent.append(len(pickle.dumps(v))) or f(self, v))
+    assert quality_classifier.quality_scores(d, labels).count() == 60
+    table = 4 * quality_classifier.DIM << quality_classifier.BITS
+    assert sum(n >= table for n in sent) == 1 and sum(sent) < 1.1 * table
+
+
+def test_sums_of_partitions_meet_before_they_are_passed_on(spark):
+    d = spark.createDataFrame([(i, "the same five words here") for i in range(64)], "doc_id long, text string").repartition(8)
+    plan = quality_classifier.partial_sums(d)
+    assert plan.groupBy("slice").count().where("count > 1").count() == 0 and plan.count() > 0
