@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,9 +29,25 @@ def settled(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{shared_dir(spark)}/skeinflow-{name}-{uuid.uuid4().hex}"
     made.append(path)
     df.write.option("compression", "zstd").parquet(path)
+    tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Share of the driver's heap from which garbage is collected after a stage.
+FULL = 0.5
+
+
+def tidy(spark: SparkSession) -> bool:
+    """Collect the driver's garbage once FULL of the heap is used.  Plans, broadcasts and shuffle files of stages that are over stay
+    until then, so a long chain of stages would otherwise grow to the whole heap and fill disks."""
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    full = runtime.totalMemory() - runtime.freeMemory() > FULL * runtime.maxMemory()
+    if full:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return full
+
+
 #: Folders of written tables that this process has made and not dropped, in order.
 made: list[str] = []
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from skeinflow import stages
 from skeinflow.domain import cluster, eye
 from skeinflow.functions import scalar
 from skeinflow.operators import asof, grouping, ordered
@@ -131,3 +132,14 @@ def test_quotients_next_to_a_half_round_as_in_sql(spark, tmp_path):
     want = con.execute(entry.oracle_sql()["list_div_rows"]).fetchall()
     got = [tuple(r) for r in entry.queries()["list_div_rows"](spark, str(tmp_path)).select("k", "i", "x").collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_driver_collects_garbage_after_a_stage_when_it_is_full(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(stages, "tidy", lambda s, f=stages.tidy: seen.append(f(s)))
+    for share in (0.0, 1.0):
+        monkeypatch.setattr(stages, "FULL", share)
+        df = stages.settled(spark.range(3))
+        assert df.count() == 3
+        stages.drop_settled(df)
+    assert seen == [True, False]
