@@ -8,7 +8,6 @@ digest.  Identifiers are name-based UUIDs of what a record is made from, so reru
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import io
 import os
@@ -16,6 +15,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 from typing import NamedTuple
 
@@ -39,11 +39,19 @@ class Record(NamedTuple):
     block: bytes
 
     def get(self, name: str) -> str | None:
-        return next((v for k, v in self.fields if k.lower() == name.lower()), None)
+        low = name.lower()
+        return next((v for k, v in self.fields if k == name or k.lower() == low), None)
+
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Ten bits as two characters of base 32, and where the sixteen pairs of a SHA-1 begin.
+_PAIRS = [a + b for a in _BASE32 for b in _BASE32]
+_SHIFTS = range(150, -1, -10)
 
 
 def digest(data: bytes) -> str:
-    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    n = int.from_bytes(hashlib.sha1(data).digest())
+    return "sha1:" + "".join([_PAIRS[n >> s & 1023] for s in _SHIFTS])
 
 
 def record_id(*parts: object) -> str:
@@ -52,7 +60,7 @@ def record_id(*parts: object) -> str:
 
 def _line(value: str) -> str:
     """A field value on one line."""
-    return re.sub(r"[\r\n]+", " ", value)
+    return re.sub(r"[\r\n]+", " ", value) if "\n" in value or "\r" in value else value
 
 
 #: Level of the gzip members in columns, which are read again at once, and in files.
@@ -104,6 +112,20 @@ class _Members(io.RawIOBase):
         return n
 
 
+#: Most bytes that a single gzip member decompresses to at once.
+_AT_ONCE = 1 << 22
+
+
+def _plain(data: bytes) -> io.BufferedIOBase:
+    """The decompressed bytes: of one short member at once, else as they are read."""
+    if len(data) < _AT_ONCE:
+        inner = zlib.decompressobj(31)
+        plain = inner.decompress(data, _AT_ONCE)
+        if inner.eof and not inner.unused_data:
+            return io.BytesIO(plain)
+    return io.BufferedReader(_Members(data), 1 << 16)
+
+
 def _fields(lines: list[str]) -> list[tuple[str, str]]:
     out: list[tuple[str, str]] = []
     for line in lines:
@@ -117,7 +139,7 @@ def _fields(lines: list[str]) -> list[tuple[str, str]]:
 
 def parse(data: bytes) -> Iterator[Record]:
     """Every record of a WARC file's bytes, gzip members or plain, one at a time: memory for the bytes and one record."""
-    f = io.BufferedReader(_Members(data), 1 << 16) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    f = _plain(data) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
     while line := f.readline():
         if not line.strip():
             continue
@@ -126,14 +148,18 @@ def parse(data: bytes) -> Iterator[Record]:
         lines: list[str] = []
         while (line := f.readline()) and line not in (b"\r\n", b"\n"):
             lines.append(line.decode("utf-8", "replace").rstrip("\r\n"))
-        fields = _fields(lines)
-        length = next((int(v) for k, v in fields if k.lower() == "content-length"), None)
+        length, fields = None, []
+        for k, v in _fields(lines):
+            if k.lower() != "content-length":
+                fields.append((k, v))
+            elif length is None:
+                length = int(v)
         if length is None:
             raise ValueError("a record without Content-Length")
         block = f.read(length)
         if len(block) < length:
             raise ValueError("a record cut short")
-        yield Record([x for x in fields if x[0].lower() != "content-length"], block)
+        yield Record(fields, block)
 
 
 def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
@@ -200,7 +226,15 @@ def body(headers: list[tuple[str, str]], payload: bytes) -> tuple[bytes, str]:
     return payload, ""
 
 
+#: Text up to a tag, and that tag: an end tag, or a start tag without attributes or with one in double quotes.
+_COMMON = re.compile(r'([^<]*+)<(?:/([a-zA-Z][a-zA-Z0-9]*)>|([a-zA-Z][a-zA-Z0-9]*)(?: ([a-zA-Z][a-zA-Z-]*)="([^"]*)")?>)')
+#: Elements whose content may have rules of its own: their start tags are left to the library.
+_OWN_RULES = {"script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes", "noscript", "plaintext"}
+
+
 class _Text(HTMLParser):
+    """The library's parser, with a shorter way through text and common tags; all else is parsed by its methods."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.pieces: list[str] = []
@@ -211,6 +245,56 @@ class _Text(HTMLParser):
         #: Text inside what is dropped: thrown away at its end, shown if that never comes.
         self.aside: list[str] = []
 
+    def updatepos(self, i: int, j: int) -> int:
+        """Nothing asks for lines and columns."""
+        return j
+
+    def goahead(self, end: bool) -> None:
+        raw, at = self.rawdata, 0
+        match, find, start, data = _COMMON.match, raw.find, raw.startswith, self.handle_data
+        while True:
+            if self.cdata_elem is not None:
+                m = self.interesting.search(raw, at)
+                if m is None or not start("</", m.start()):
+                    break
+                if at < m.start():
+                    data(raw[at : m.start()])
+                at = m.start()
+                after = self.parse_endtag(at)
+            elif (m := match(raw, at)) and not (m[3] and m[3].lower() in _OWN_RULES):
+                text, ended, tag, name, value = m.groups()
+                if text:
+                    data(unescape(text))
+                if ended:
+                    self.handle_endtag(ended.lower())
+                else:
+                    self.lasttag = tag = tag.lower()
+                    self.handle_starttag(tag, [(name.lower(), unescape(value))] if name else [])
+                at = m.end()
+                continue
+            else:
+                opened = find("<", at)
+                if opened < 0:
+                    break
+                if at < opened:
+                    data(unescape(raw[at:opened]))
+                at = opened
+                if start("<!--", at):
+                    after = self.parse_comment(at)
+                elif start("<!", at):
+                    after = self.parse_html_declaration(at)
+                elif start("</", at):
+                    after = self.parse_endtag(at)
+                elif raw[at + 1 : at + 2].isalpha() and raw[at + 1].isascii():
+                    after = self.parse_starttag(at)
+                else:
+                    break
+            if after < 0:
+                break
+            at = after
+        self.rawdata = raw[at:]
+        super().goahead(end)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "body":
             self.hidden, self.aside = 0, []
@@ -221,8 +305,7 @@ class _Text(HTMLParser):
         elif tag == "a":
             self.links += [v for k, v in attrs if k == "href" and v]
         if tag in _BLOCK:
-            self.pieces.append("\n")
-            self.aside.append("\n")
+            self._break()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _DROPPED:
@@ -231,8 +314,12 @@ class _Text(HTMLParser):
         elif tag == "title":
             self.in_title = False
         if tag in _BLOCK:
-            self.pieces.append("\n")
-            self.aside.append("\n")
+            self._break()
+
+    def _break(self) -> None:
+        for x in (self.pieces, self.aside):
+            if not x or x[-1] != "\n":
+                x.append("\n")
 
     def handle_data(self, data: str) -> None:
         if self.in_title:
@@ -257,9 +344,10 @@ def page_response(page_id: object, url: str | None, html: str | None, date: str
     payload = (html or "").encode("utf-8", "surrogatepass")
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
     block = head.encode() + payload
-    fields = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", page_id, url, digest(payload)))]
+    of_payload = digest(payload)
+    fields = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", page_id, url, of_payload))]
     fields += [("WARC-Target-URI", url)] if url else []
-    fields += [("WARC-Date", date), ("WARC-Payload-Digest", digest(payload)), ("WARC-Block-Digest", digest(block))]
+    fields += [("WARC-Date", date), ("WARC-Payload-Digest", of_payload), ("WARC-Block-Digest", digest(block))]
     return Record([*fields, ("Content-Type", "application/http; msgtype=response")], block)
 
 
@@ -289,29 +377,61 @@ def derive(source: Record) -> tuple[Record, Record]:
     text_block = text.encode("utf-8", "replace")
 
     def made(what: str, content: str, block: bytes) -> Record:
-        fields = [("WARC-Type", what), ("WARC-Record-ID", record_id(what, ident, digest(block))), *shared]
-        fields += [("WARC-Block-Digest", digest(block)), ("WARC-Source-Payload-Digest", of_payload), ("Content-Type", content)]
+        of_block = digest(block)
+        fields = [("WARC-Type", what), ("WARC-Record-ID", record_id(what, ident, of_block)), *shared]
+        fields += [("WARC-Block-Digest", of_block), ("WARC-Source-Payload-Digest", of_payload), ("Content-Type", content)]
         return Record(fields, block)
 
     return made("metadata", "application/warc-fields", note_block), made("conversion", "text/plain; charset=utf-8", text_block)
 
 
+def _respond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for lo in range(0, max(1, whole.num_rows), 256):
+            batch = whole.slice(lo, 256)
+            rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array([serialise(page_response(*r)) for r in rows], pa.binary())], ["page_id", "warc"])
+
+
+def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for lo in range(0, max(1, whole.num_rows), 256):
+            batch = whole.slice(lo, 256)
+            at: list[int] = []
+            out: list[tuple] = []
+            for i, data in enumerate(batch.column("warc").to_pylist()):
+                for r in parse(data or b""):
+                    if r.get("WARC-Type") == "response":
+                        at.append(i)
+                        out.append(tuple(serialise(d) for d in derive(r)))
+            made = [pa.array([r[k] for r in out], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id").take(pa.array(at, pa.int64())), *made], ["page_id", "metadata", "conversion"])
+
+
+def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for lo in range(0, max(1, whole.num_rows), 256):
+            batch = whole.slice(lo, 256)
+            out = [_summary(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("page_id", "metadata", "conversion")), strict=True)]
+            kinds = [pa.int64() if t == "long" else pa.string() for t in _SUMMARY.values()]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], ["page_id", *_SUMMARY])
+
+
+def _page_columns(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+
+
+def _summary_schema(rows: DataFrame) -> str:
+    return ", ".join([f"page_id {rows.schema['page_id'].dataType.simpleString()}", *(f"{k} {v}" for k, v in _SUMMARY.items())])
+
+
 def page_responses(pages: DataFrame) -> DataFrame:
     """(page_id, url, html) -> page_id, warc: a response record for each page, whatever the type of its id.
 
     Null html is an empty payload, a null url leaves the target URI out; repeated rows give equal records; very long pages are worked on
     whole; an empty table gives no rows; other columns, whatever their names, are not looked at.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, max(1, whole.num_rows), 256):
-                batch = whole.slice(lo, 256)
-                rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array([serialise(page_response(*r)) for r in rows], pa.binary())], ["page_id", "warc"])
-
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, warc binary")
+    return _page_columns(pages).mapInArrow(_respond, f"page_id {pages.schema['page_id'].dataType.simpleString()}, warc binary")
 
 
 def derivatives(responses: DataFrame) -> DataFrame:
@@ -320,23 +440,8 @@ def derivatives(responses: DataFrame) -> DataFrame:
     Null or empty bytes give none either; repeated rows give equal records; records are derived one at a time, whole; an empty table
     gives no rows; other columns, whatever their names, are not looked at.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, max(1, whole.num_rows), 256):
-                batch = whole.slice(lo, 256)
-                at: list[int] = []
-                out: list[tuple] = []
-                for i, data in enumerate(batch.column("warc").to_pylist()):
-                    for r in parse(data or b""):
-                        if r.get("WARC-Type") == "response":
-                            at.append(i)
-                            out.append(tuple(serialise(d) for d in derive(r)))
-                made = [pa.array([r[k] for r in out], pa.binary()) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([batch.column("page_id").take(pa.array(at, pa.int64())), *made], ["page_id", "metadata", "conversion"])
-
     kind = responses.schema["page_id"].dataType.simpleString()
-    return responses.select("page_id", "warc").mapInArrow(run, f"page_id {kind}, metadata binary, conversion binary")
+    return responses.select("page_id", "warc").mapInArrow(_derive, f"page_id {kind}, metadata binary, conversion binary")
 
 
 _SUMMARY = {
@@ -346,45 +451,37 @@ _SUMMARY = {
 }
 
 
+def _summary(page: object, metadata: bytes, conversion: bytes) -> tuple:
+    (m,), (c,) = parse(metadata), parse(conversion)
+    for r in (m, c):
+        if r.get("WARC-Block-Digest") != digest(r.block):
+            raise ValueError(f"page {page}: block and digest differ")
+    notes = Record(_fields(m.block.decode("utf-8", "replace").split("\r\n")), b"")
+    text = c.block.decode()
+    return (
+        m.get("WARC-Record-ID"), c.get("WARC-Record-ID"), m.get("WARC-Refers-To"), c.get("WARC-Refers-To"), c.get("WARC-Target-URI"), c.get("WARC-Date"),
+        notes.get("http-status"), notes.get("http-header-content-type"), c.get("WARC-Source-Payload-Digest"), int(notes.get("source-payload-length") or 0),
+        sum(k == "outlink" for k, _ in notes.fields), notes.get("title"), c.get("WARC-Block-Digest"), hashlib.sha256(c.block).hexdigest(), len(text),
+    )
+
+
 def summaries(records: DataFrame) -> DataFrame:
     """What the derived records (page_id, metadata, conversion) say, read back from their bytes, digests checked.
 
     Records must not be null, as ``derivatives`` makes none such; a block that differs from its digest is an error; repeated rows
     give equal rows; an empty table gives no rows; other columns, whatever their names, are not looked at.
     """
-
-    def one(page: object, metadata: bytes, conversion: bytes) -> tuple:
-        (m,), (c,) = parse(metadata), parse(conversion)
-        for r in (m, c):
-            if r.get("WARC-Block-Digest") != digest(r.block):
-                raise ValueError(f"page {page}: block and digest differ")
-        notes = Record(_fields(m.block.decode("utf-8", "replace").split("\r\n")), b"")
-        text = c.block.decode()
-        return (
-            m.get("WARC-Record-ID"), c.get("WARC-Record-ID"), m.get("WARC-Refers-To"), c.get("WARC-Refers-To"), c.get("WARC-Target-URI"), c.get("WARC-Date"),
-            notes.get("http-status"), notes.get("http-header-content-type"), c.get("WARC-Source-Payload-Digest"), int(notes.get("source-payload-length") or 0),
-            sum(k == "outlink" for k, _ in notes.fields), notes.get("title"), c.get("WARC-Block-Digest"), hashlib.sha256(c.block).hexdigest(), len(text),
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, max(1, whole.num_rows), 256):
-                batch = whole.slice(lo, 256)
-                out = [one(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("page_id", "metadata", "conversion")), strict=True)]
-                kinds = [pa.int64() if t == "long" else pa.string() for t in _SUMMARY.values()]
-                yield pa.RecordBatch.from_arrays([batch.column("page_id"), *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], ["page_id", *_SUMMARY])
-
-    kind = records.schema["page_id"].dataType.simpleString()
-    return records.select("page_id", "metadata", "conversion").mapInArrow(run, ", ".join([f"page_id {kind}", *(f"{k} {v}" for k, v in _SUMMARY.items())]))
+    return records.select("page_id", "metadata", "conversion").mapInArrow(_summarise, _summary_schema(records))
 
 
 def page_derivatives(pages: DataFrame) -> DataFrame:
     """One row per page: identifiers, links, source headers and digests of its derived records, and of its text.
 
+    These are ``page_responses``, ``derivatives`` and ``summaries`` in one pass of a worker, so records don't travel in between.
     A null url leaves out the target URI; null html gives an empty text; repeated rows give equal records with equal ids;
     an empty table gives no rows; other columns are not looked at.
     """
-    return summaries(derivatives(page_responses(pages)))
+    return _page_columns(pages).mapInArrow(lambda batches: _summarise(_derive(_respond(batches))), _summary_schema(pages))
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:

@@ -10,6 +10,7 @@ import re
 import uuid
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -454,6 +455,38 @@ def test_bodies_of_crawls():
         assert warc.html_text(page)[0] == text, page
 
 
+def test_pages_in_one_pass(spark):
+    """Records don't travel between workers on the way from pages to summaries, and say what the three steps say one by one."""
+    rows = [(i, f"http://h/{i}", f"<title>t{i}</title><p>a<br>b<a href='/{i}'>" + "c " * i) for i in range(300)] + [(None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.page_derivatives(pages)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    apart = warc.summaries(warc.derivatives(warc.page_responses(pages)))
+    assert got.schema == apart.schema and sorted(got.collect(), key=str) == sorted(apart.collect(), key=str) and got.count() == 301
+
+
+def test_short_way_through_html():
+    """The short way through common tags gives what the library's parser gives by itself."""
+
+    class Plain(warc._Text):
+        goahead, updatepos = HTMLParser.goahead, HTMLParser.updatepos
+
+    def state(kind, html):
+        p = kind()
+        p.feed(html)
+        p.close()
+        return p.pieces, p.aside, p.title, p.links, p.hidden, p.in_title, p.lasttag, p.cdata_elem, p.rawdata
+
+    bits = """< > </ /> <p> <P> </p> </P\t> <br/> <a|href="x&amp;y"> <a|href='q'> <a|href=z> <A|HREF="k"> <a|href="1"|class="2"> <a||href="w"> <script> </script> </SCRIPT|> <style> </style <title> </title>
+        <textarea> </textarea> <!-- --> <!DOCTYPE|html> <!doctype <?xml ?> <! &amp &amp; &lt; & &# &#x41; | x é " ' = <body> </body> <head> </head> <template> </template> <noscript> </noscript> <x:y> <1> <é> <div
+        </div </> <p|a="<b>"> <img|src="a>b"> <a|href=""> <a|href> <li|data-x="1">""".split()
+    bits = [x.replace("|", " ") for x in bits] + ["\n", "\0"]
+    r = random.Random(5)
+    for _ in range(3000):
+        html = "".join(r.choice(bits) for _ in range(r.randint(1, 30)))
+        assert state(warc._Text, html) == state(Plain, html), html
+
+
 # --- op7
 
 
