@@ -10,18 +10,32 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens whose ids a worker remembers at once, and the longest that it remembers.
-CACHE, CACHE_CHARS = 120_000, 48
+#: Pre-tokens whose ids a worker remembers in each of two generations, and the longest that it remembers.
+CACHE, CACHE_CHARS = 300_000, 48
+#: Bytes of texts that are encoded together, one text at least, and pieces that the model gets at once: a call for a few costs more
+#: than their encoding.
+TOGETHER, PIECES = 1 << 21, 1000
+#: Bytes of strings that are put together at once, as far as the longest string of all tells.
+BLOCK = 1 << 24
+#: Classes that patterns are made of.
+CLASSES = (r"\p{L}", r"\p{N}", r"\s")
+#: The pattern that has a faster form, the same but for groups, that plain ``re`` knows once the classes are written out.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+FASTER = r"""'(?:[stmd]|re|ve|ll)| ?[\p{L}]+| ?[\p{N}]+| ?[^\s\p{L}\p{N}]+|[\s]+(?![^\s])|[\s]+"""
 
 
 def parse_ranks(data: bytes) -> list[bytes]:
@@ -67,50 +81,137 @@ def model_bytes(tokens: list[bytes]) -> bytes:
     return b"".join(pieces) + _bytes(2, trainer) + _bytes(3, normaliser)
 
 
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """The matches of ``pattern`` in a text; in Latin-1 texts by plain ``re`` if the pattern has a form for it."""
+    general = regex.compile(pattern).findall
+    if pattern != PATTERN:
+        return general
+    faster = FASTER
+    for name in CLASSES:
+        faster = faster.replace(name, "".join(f"\\x{i:02x}" for i in range(256) if regex.fullmatch(name, chr(i))))
+    latin = re.compile(faster).findall
+
+    def split(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return general(text)
+        return latin(text)
+
+    return split
+
+
+class Strings:
+    """Strings of bytes, end to end."""
+
+    def __init__(self, strings: list[bytes]):
+        self.data = np.frombuffer(b"".join(strings), dtype=np.uint8)
+        self.size = np.array([len(x) for x in strings], dtype=np.int32)
+        self.start = np.cumsum(self.size, dtype=np.int32) - self.size
+        self.step = max(1, BLOCK // max(self.size, default=1))
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        """The strings of these numbers, one after the other."""
+        out = []
+        for lo in range(0, len(ids), self.step):
+            x = ids[lo : lo + self.step]
+            size = self.size[x]
+            end = np.cumsum(size, dtype=np.int32)
+            at = np.repeat(self.start[x] - end + size, size)
+            at += np.arange(len(at), dtype=np.int32)
+            out.append(self.data[at].tobytes())
+        return b"".join(out)
+
+
+class Remembered:
+    """Ids of strings, as the bytes of 32-bit integers, by what ``learn`` gives for new ones.
+
+    Those of a generation that is full stay until the next one is.
+    """
+
+    def __init__(self, learn: Callable[[set[str]], dict[str, bytes]]):
+        self.learn = learn
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def of(self, keys: Iterable[str]) -> dict[str, bytes]:
+        """A table with the ids of all ``keys``, good until the next call."""
+        keys = set(keys)
+        new = keys.difference(self.young)
+        if not new:
+            return self.young
+        old = self.old
+        found = {k: old[k] for k in new if k in old} if old else {}
+        found |= self.learn(new.difference(found) if found else new)
+        long = [k for k in found if len(k) > CACHE_CHARS]
+        full = len(self.young) + len(found) - len(long) > CACHE
+        if not full and not long:
+            self.young |= found
+            return self.young
+        table = found | {k: self.young[k] for k in keys.difference(new)}
+        if full:
+            self.old, self.young = self.young, {}
+        if len(found) - len(long) <= CACHE:
+            self.young |= found
+            for k in long:
+                del self.young[k]
+        return table
+
+
 class Codec:
     """Encoder and decoder of one vocabulary and pre-token pattern."""
 
     def __init__(self, tokens: list[bytes], pattern: str):
-        self.tokens = tokens
-        self.decimals = [str(i).encode() for i in range(len(tokens))]
-        self.whole = {t: i for i, t in enumerate(tokens)}
-        self.split = regex.compile(pattern).findall
+        self.tokens = Strings(tokens)
+        self.decimals = Strings([b"%d," % i for i in range(len(tokens))])
+        self.whole = {t: array("I", [i]).tobytes() for i, t in enumerate(tokens)}
+        self.split = splitter(pattern)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(tokens))
         self.chars = byte_characters()
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Remembered(self._learn)
 
-    def _learn(self, new: set[str]) -> dict[str, tuple[int, ...]]:
-        found, ask = {}, []
+    def _learn(self, new: Iterable[str]) -> dict[str, bytes]:
+        found, ask, raws = {}, [], []
+        whole = self.whole.get
         for p in new:
             raw = p.encode("utf-8", "surrogatepass")
-            rank = self.whole.get(raw)
-            if rank is None:
-                ask.append((p, raw.decode("latin-1").translate(self.chars)))
+            ids = whole(raw)
+            if ids is None:
+                ask.append(p)
+                raws.append(raw)
             else:
-                found[p] = (rank,)
-        for (p, _), ids in zip(ask, self.model.encode([x for _, x in ask], out_type=int, num_threads=1), strict=True):
-            found[p] = tuple(ids)
+                found[p] = ids
+        for lo in range(0, len(ask), PIECES):
+            # No UTF-8 holds the byte 255.
+            pieces = b"\xff".join(raws[lo : lo + PIECES]).decode("latin-1").translate(self.chars).split(self.chars[255])
+            for p, ids in zip(ask[lo : lo + PIECES], self.model.encode(pieces, out_type=int, num_threads=1), strict=True):
+                found[p] = array("I", ids).tobytes()
         return found
 
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text."""
+        parts = [self.split(x) for x in texts]
+        ids = self.known.of(chain.from_iterable(parts)).__getitem__
+        for of_text in parts:
+            yield b"".join(map(ids, of_text))
+
     def encode(self, text: str) -> list[int]:
-        parts = self.split(text)
-        new = set(parts).difference(self.known)
-        if new:
-            found = self._learn(new)
-            if len(self.known) + len(found) > CACHE:
-                self.known = {}
-                found |= self._learn(set(parts).difference(found))
-            long = {p: ids for p, ids in found.items() if len(p) > CACHE_CHARS}
-            if long or len(found) > CACHE:
-                local = {**self.known, **found}
-                if len(found) <= CACHE:
-                    self.known.update((p, ids) for p, ids in found.items() if p not in long)
-                return list(chain.from_iterable(map(local.__getitem__, parts)))
-            self.known.update(found)
-        return list(chain.from_iterable(map(self.known.__getitem__, parts)))
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        (ids,) = self.encode_all([text])
+        return array("I", ids).tolist()
+
+    def decode(self, ids: list[int] | np.ndarray) -> bytes:
+        return self.tokens.joined(np.asarray(ids, dtype=np.int64))
+
+
+def _together(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ends of slices of ``TOGETHER`` bytes, or of one longer text; an empty one if there are no texts."""
+    lo = size = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        if i > lo and size + n > TOGETHER:
+            yield lo, i
+            lo, size = i, 0
+        size += n
+    yield lo, len(column)
 
 
 _codecs: dict[tuple[int, str], Codec] = {}
@@ -128,17 +229,17 @@ def _run(vocabulary, pattern: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(vocabulary, pattern)
         for whole in batches:
-            for lo in range(0, max(1, whole.num_rows), 256):
-                batch = whole.slice(lo, 256)
+            texts = whole.column("text")
+            for lo, hi in _together(texts):
                 n, coded, decoded, ids = [], [], [], []
-                for text in batch.column("text"):
-                    x = codec.encode(text.as_py() or "")
-                    n.append(len(x))
-                    coded.append(hashlib.sha256(b",".join(map(codec.decimals.__getitem__, x))).hexdigest())
-                    decoded.append(hashlib.sha256(codec.decode(x)).hexdigest())
+                for x in codec.encode_all([x or "" for x in texts.slice(lo, hi - lo).to_pylist()]):
+                    found = np.frombuffer(x, dtype=np.uint32)
+                    n.append(len(found))
+                    coded.append(hashlib.sha256(codec.decimals.joined(found)[:-1]).hexdigest())
+                    decoded.append(hashlib.sha256(codec.decode(found)).hexdigest())
                     if with_ids:
-                        ids.append(x)
-                made = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
+                        ids.append(found.astype(np.int32))
+                made = [whole.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
                     made.append(pa.array(ids, pa.list_(pa.int32())))

@@ -17,6 +17,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -512,6 +513,47 @@ def test_bpe(spark):
     assert bpe.encode_documents(d.where("false"), path, P.PATTERN).count() == 0
 
 
+def test_bpe_of_many_texts_at_once():
+    """New pre-tokens of many texts go to the model together, and those in use outlast a full generation."""
+    tokens = bpe.parse_ranks(open(P.path("byte_bpe_multi_50k.tiktoken"), "rb").read())
+    codec = bpe.Codec(tokens, P.PATTERN)
+    ref = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    calls, model = [], codec.model
+
+    class Counted:
+        def encode(self, pieces, **options):
+            calls.append(len(pieces))
+            return model.encode(pieces, **options)
+
+    codec.model = Counted()
+    texts = [f"xq{'abcdefgh'[i % 8]}zzv common{i} wörd vqqxjq " + "日本" * i for i in range(40)] + ["", " ", "q" * 100]
+    want = [np.array(ref.encode_ordinary(t), dtype=np.uint32).tobytes() for t in texts]
+    assert list(codec.encode_all(texts)) == want and len(calls) == 1
+    small, bpe.CACHE = bpe.CACHE, 30
+    try:
+        codec.known.young, codec.known.old = {}, {}
+        codec.encode(" vqqxjq")
+        del calls[:]
+        for i in range(200):
+            assert codec.encode(f" vqqxjq xxzq{chr(97 + i % 26)}{chr(97 + i // 26)}q") == ref.encode_ordinary(f" vqqxjq xxzq{chr(97 + i % 26)}{chr(97 + i // 26)}q")
+        assert sum(calls) == 200 and len(codec.known.young) <= 30 and len(codec.known.old) <= 30
+    finally:
+        bpe.CACHE = small
+    ids = np.random.default_rng(1).integers(0, len(tokens), 500_000)
+    assert codec.decode(ids) == b"".join(tokens[i] for i in ids) and codec.decode([]) == b""
+
+
+def test_bpe_pattern_in_latin_texts():
+    assert bpe.PATTERN == P.PATTERN
+    split, plain = bpe.splitter(P.PATTERN), regex.compile(P.PATTERN).findall
+    every, r = [chr(i) for i in range(256)], random.Random(3)
+    few = [*" \n\t'aé1!\xa0\x85\x1c", "'s", "'re", "'ll", "'S", "  ", "²", "漢"]
+    for i in range(6000):
+        text = "".join(r.choice(every if i % 2 else few) for _ in range(r.randint(0, 30)))
+        assert split(text) == plain(text), text
+    assert bpe.splitter(r"\S+|\s")("a  b") == ["a", " ", " ", "b"]
+
+
 # --- op9
 
 
