@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pre-tokens whose ids a worker remembers in each of two generations, and the longest that it remembers.
-CACHE, CACHE_CHARS = 300_000, 48
+CACHE, CACHE_CHARS = 120_000, 48
 #: Bytes of texts that are encoded together, one text at least, and pieces that the model gets at once: a call for a few costs more
 #: than their encoding.
-TOGETHER, PIECES = 1 << 21, 1000
+TOGETHER, PIECES = 1 << 20, 1000
 #: Bytes of strings that are put together at once, as far as the longest string of all tells.
 BLOCK = 1 << 24
 #: Classes that patterns are made of.
