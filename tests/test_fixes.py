@@ -122,6 +122,37 @@ def test_all_pairs_of_paths_of_several_lengths(spark, monkeypatch):
     assert len(got) == len(want) and dict(got) == pytest.approx(want)
 
 
+def test_every_pair_of_blocks_of_paths_is_a_task_of_its_own(spark):
+    """Small blocks aren't put together in a few tasks, which would leave most cores without any."""
+    path = np.random.default_rng(11).normal(size=(60, 3, 2))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(path)], "k long, path array<array<double>>")
+    got = cluster.dtw_matrix(df, "k", "path", blocks=4).withColumn("task", F.spark_partition_id()).toPandas()
+    assert len(got) == 60 * 59 // 2 and got.task.nunique() == 10 and not got.duplicated(["a", "b"]).any()
+
+
+@pytest.mark.parametrize("p", [1.0, 2.0, 3.0])
+def test_pairs_of_odd_paths(spark, p, monkeypatch):
+    """Repeated keys and paths, keys of text, paths that are empty or null, rows without a key; small stacks."""
+    monkeypatch.setattr(cluster, "_STACK", 20)
+    rng = np.random.default_rng(5)
+    rows = [(f"k{n % 23:02}", rng.normal(size=(n % 4, 3)).tolist()) for n in range(26)]
+    rows += [("x", rows[1][1]), ("y", None), ("z", []), (None, rows[1][1])]
+
+    def slow(u, v):
+        best = np.full((len(u) + 1, len(v) + 1), np.inf)
+        best[0, 0] = 0
+        for i in range(len(u)):
+            for j in range(len(v)):
+                best[i + 1, j + 1] = (np.abs(np.subtract(u[i], v[j])) ** p).sum() ** (1 / p) + min(best[i, j + 1], best[i + 1, j], best[i, j])
+        return round(float(best[-1, -1]), 9)
+
+    known = [r for r in rows if r[0]]
+    want = [(a, b, None if u is None or v is None else slow(u, v)) for a, u in known for b, v in known if a < b]
+    for blocks in (1, 3):
+        got = cluster.dtw_matrix(spark.createDataFrame(rows, "k string, path array<array<double>>"), "k", "path", p, blocks).collect()
+        assert sorted(map(str, want)) == sorted(str((r.a, r.b, None if r.distance is None else round(r.distance, 9))) for r in got)
+
+
 def test_quotients_next_to_a_half_round_as_in_sql(spark, tmp_path):
     """Quotients of 5 digits that end in 5, as doubles next to a half or on it, with nothing forgiven."""
     rows = [(i // 3, i % 3, i, p, q) for i, (p, q) in enumerate([(41555.31, 24.0), (32680.19, 40.0), (73519.18, 16.0), (104564.54, 16.0), (69237.87, 40.0), (8.0, 0.5), (-41555.31, 24.0)])]
